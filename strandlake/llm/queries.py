@@ -109,8 +109,8 @@ select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, coalesc
 _OP4_SQL = f"select doc_id, n_lines, n_dropped, sha256(text) as kept_sha256 from ({LINE_DEDUP_SQL.replace('DOCS', 'documents')})"
 
 _OP6_SQL = r"""
-with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') as w from documents
-), sets as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) end as s from w
+with recursive w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), sets as (select doc_id, case when len(w) = 0 then []::varchar[] when len(w) = 1 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from w
 ), shingles as (select doc_id, unnest(s) as x, len(s) as n from sets
 ), common as (select a.doc_id as a, b.doc_id as b, any_value(a.n) as na, any_value(b.n) as nb, count(*) as shared from shingles a join shingles b on a.x = b.x and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by a.doc_id, b.doc_id
 ), links as (select a, b from common where 100 * shared >= 80 * (na + nb - shared)
