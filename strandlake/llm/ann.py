@@ -27,6 +27,7 @@ class Index:
     cells: np.ndarray  # n x dim
     books: np.ndarray  # subspaces x 16 x 2
     eta: float
+    probes: int = 1  # cells that a query has to look into
 
     @property
     def dim(self) -> int:
@@ -96,7 +97,21 @@ def fit_index(sample: np.ndarray, n_cells: int, eta: float = 4.0, rounds: int =
             for c in range(16):
                 if (mine := codes[:, s] == c).any():
                     books[s, c] = np.linalg.solve(weight[mine].sum(0), goal[mine].sum(0))
-    return Index(cells.astype(np.float32), books.astype(np.float32), eta)
+    return Index(cells.astype(np.float32), books.astype(np.float32), eta, enough_probes(x, cells))
+
+
+def enough_probes(x: np.ndarray, cells: np.ndarray, share: float = 0.98, asked: int = 256, k: int = 10) -> int:
+    """How many of a query's nearest cells hold ``share`` of its ``k`` nearest sampled vectors: few if the data form clusters, most of all cells if they are spread evenly."""
+    if len(cells) == 1 or len(x) < 2:
+        return len(cells)
+    own = nearest_cells(x, cells)[:, 0]
+    some = np.linspace(0, len(x) - 1, min(asked, len(x))).astype(np.int64)
+    d = (x * x).sum(1)[None, :] - 2 * x[some] @ x.T
+    d[np.arange(len(some)), some] = np.inf
+    near = np.argpartition(d, min(k, len(x) - 1) - 1, 1)[:, :k]
+    place = np.argsort(nearest_cells(x[some], cells, len(cells)), 1)  # of each cell in a query's order
+    at = np.sort(np.take_along_axis(place, own[near], 1).ravel())
+    return int(at[min(len(at) - 1, int(np.ceil(share * len(at))))]) + 1
 
 
 def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,8 +147,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     """query_id, rank (from 1), vec_id and score (Euclidean distance in double precision) of each query's ``k`` nearest found, ties to the smaller id.
 
     A query meets every row but those of its own id; with fewer than ``k`` it has that many rows. Vectors that are null, zero, of another number of dimensions than most, or that hold
-    null or non-finite components take no part, nor do rows without id. Repeated rows of one id count as its nearest. ``probe``: cells a query looks into, unless given 8
-    or an eighth of all, if that is more. Empty tables, on either side, give no rows.
+    null or non-finite components take no part, nor do rows without id. Repeated rows of one id count as its nearest. ``probe``: cells a query looks into, unless given as many as the
+    sample shows to hold 98 of 100 neighbours. Empty tables, on either side, give no rows.
     """
     spark = vectors.sparkSession
     names = {"vec_id": id_col, "v": vector_col}
@@ -146,8 +161,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     rows, asked = (t.where(F.size("v") == dim).select("vec_id", F.col("v").cast("array<float>").alias("v")) for t in (rows, asked))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
     n_cells = max(1, min(most_cells, total // rows_per_cell, sample_rows // 32))
-    shared = spark.sparkContext.broadcast(fit_index(_matrix(sample, dim), n_cells))  # centres and codes, whatever the data
-    probes = min(n_cells, probe or max(8, n_cells // 8))
+    fitted = fit_index(_matrix(sample, dim), n_cells)
+    shared = spark.sparkContext.broadcast(fitted)  # centres and codes, whatever the data
+    probes = min(n_cells, probe or fitted.probes)
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
