@@ -160,17 +160,17 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
 def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """The rows whose language the model doesn't refuse, with all their columns: the verdict is made where the row is, so nothing is joined."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    place = docs.columns.index(text_col)
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
-            texts = batch.column(place)
+            texts = batch.column(1)
             for at in range(0, len(texts), 64):
                 some = [i for i in range(at, min(at + 64, len(texts))) if texts[i].is_valid and has_letters(texts[i].as_py())]
                 if some and m.languages:
                     good[some] = m.scores(np.stack([subword_counts(texts[i].as_py().encode("utf-8", "surrogatepass"), m.embed.shape[0]) for i in some])).max(1) >= m.threshold
-            yield batch.filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], names=["row"])
 
-    return docs.mapInArrow(keep, docs.schema)
+    return d.mapInArrow(keep, d.select("row").schema).select("row.*")

@@ -2,7 +2,7 @@
 
 One vector of weights over hashed words is shared by all grades; ordered thresholds cut its score: P(grade >= k) = sigmoid(score - threshold_k). It is
 fitted by full-gradient descent (Adam) in numpy on the driver, over a bounded sample of rated rows: the ``sample_rows`` with the smallest hashes. A word counts once for a text, so a single
-word can decide about a long text, and only buckets that enough sampled texts share have a weight.
+word can decide about a long text, and only buckets have a weight whose texts are graded differently from the rest beyond chance.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +35,14 @@ _seen = _Buckets()
 
 
 def features(text: bytes, buckets: int) -> np.ndarray:
-    """Sorted hash buckets of a text: its words, its runs of marks, and how much of it is in capitals, marks or digits, each in steps."""
+    """Sorted hash buckets of a text: its words, its runs of marks, and in steps how much of it is in capitals or marks, how long it is and how often a word repeats the one before."""
     letters = text.translate(None, bytes(set(range(128)) - set(range(65, 91)) - set(range(97, 123))))
     upper = len(letters.translate(None, bytes(range(97, 123)) + bytes(range(128, 256))))
     marks = _MARKS.findall(text)
-    n = max(1, len(text))
-    shape = [b"\0c%d" % int(10 * upper / max(1, len(letters))), b"\0m%d" % int(np.log2(1 + 1000 * len(marks) / n)), b"\0l%d" % n.bit_length()]
-    words = set(text.translate(LOWER).translate(_WORD).split()) | set(marks) | set(shape)
+    n, run = max(1, len(text)), text.translate(LOWER).translate(_WORD).split()
+    again = sum(map(eq, run, run[1:])) / max(1, len(run))
+    shape = [b"\0c%d" % int(10 * upper / max(1, len(letters))), b"\0m%d" % int(np.log2(1 + 1000 * len(marks) / n)), b"\0l%d" % n.bit_length(), b"\0r%d" % int(np.log2(1 + 100 * again))]
+    words = {*run, *marks, *shape}
     return np.unique(np.fromiter(map(_seen.__getitem__, words), np.int64, len(words)) & (buckets - 1))
 
 
@@ -58,14 +60,17 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None, :] - score, -50, 50)))
 
 
-def fit(at: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int, steps: int = 300, rate: float = 0.05, ridge: float = 2e-4, least_share: float = 0.002) -> OrdinalModel:
+def fit(at: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int, steps: int = 300, rate: float = 0.05, ridge: float = 2e-4, least_rows: int = 5, least_z: float = 4.5) -> OrdinalModel:
     """Without rated rows all weights are 0 and every grade is as likely as the next."""
     cuts = np.arange(n_grades - 1, dtype=np.float64) - (n_grades - 2) / 2
     weights = np.zeros(buckets, np.float64)
     if not at:
         return OrdinalModel(weights.astype(np.float32), cuts)
-    share = np.bincount(np.concatenate(at), minlength=buckets)
-    used = np.flatnonzero(share >= max(3, least_share * len(at)))
+    # only buckets whose texts' grades differ from the others' beyond chance, of words that enough texts share
+    many = np.bincount(np.concatenate(at), minlength=buckets)
+    away = np.repeat(grades - grades.mean(), [len(a) for a in at])
+    z = np.abs(np.bincount(np.concatenate(at), away, buckets)) / (np.sqrt(np.maximum(many * (1 - many / len(at)), 1e-9)) * max(float(grades.std()), 1e-9))
+    used = np.flatnonzero((many >= least_rows) & (z >= least_z))
     number = np.full(buckets, -1, np.int64)
     number[used] = np.arange(len(used))
     cols = [number[a][number[a] >= 0] for a in at]
