@@ -99,6 +99,17 @@ def _expanded(symbols: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return symbols
 
 
+def _all_ids(symbols: np.ndarray, rules: np.ndarray, sizes: np.ndarray, base: int) -> np.ndarray:
+    """All ids of many symbols: each rule is expanded once, then copied wherever it stands."""
+    flat = np.concatenate([_expanded(np.arange(base, base + len(rules), dtype=np.uint32), rules, base), symbols])
+    ends = np.cumsum(sizes.astype(np.int64))
+    big = np.flatnonzero(symbols >= base)
+    rule = symbols[big].astype(np.int64) - base
+    n, start = np.ones(len(symbols), np.int64), np.arange(len(flat) - len(symbols), len(flat))
+    n[big], start[big] = sizes[rule], ends[rule] - sizes[rule]
+    return flat[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
 def expand(shard: dict, doc: int, start: int = 0, length: int | None = None) -> np.ndarray:
     """Ids ``start`` to ``start + length`` of the ``doc``-th document of a shard's row; only the symbols that cover them are expanded."""
     u4 = lambda name: np.frombuffer(shard[name], "<u4")
@@ -174,7 +185,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 keys, nulls = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_nulls"], bool)
                 sizes, at = np.frombuffer(row["doc_tokens"], "<u4").astype(np.int64), np.frombuffer(row["doc_at"], "<u4")
                 symbols = np.frombuffer(row["symbols"], f"<u{row['width']}").astype(np.uint32)
-                ids = _expanded(symbols[at[0] : at[-1]], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), row["base"]).astype("<u4").tobytes()
+                ids = _all_ids(symbols[at[0] : at[-1]], np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["rule_tokens"], "<u4"), row["base"]).astype("<u4").tobytes()
                 ends = np.cumsum(sizes)
                 sums = [zlib.crc32(ids[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 n = len(keys)

@@ -47,6 +47,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.space_matters = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.most = most
+        # what stands between words that are encoded together: a pre-token and an id of its own
+        self.between = "\n" if self.space_matters else " \x01 "
+        mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
@@ -88,6 +92,22 @@ class Encoder:
         self.starts[rows] = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
 
+    def _one_word(self, piece: str) -> bool:
+        core = piece[1:] if self.space_matters and piece[:1] == "\0" else piece
+        return core.split() == [core] and "\x01" not in core and "\0" not in core
+
+    def _together(self, words: list[str], many: int = 100) -> list[np.ndarray]:
+        """Ids of single words, a hundred in a text."""
+        groups = [words[i : i + many] for i in range(0, len(words), many)]
+        out: list[np.ndarray] = []
+        for g, e in zip(groups, self.tokenizer.encode_batch_fast([self.between.join(map(self._text, g)) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, np.uint32)
+            cut = np.flatnonzero(ids == self.mark)
+            if len(cut) != len(g) - 1:
+                raise ValueError("a word holds the mark between words")
+            out += [x if i == 0 else x[1:] for i, x in enumerate(np.split(ids, cut))]
+        return out
+
     def _learn(self) -> None:
         whole: list[str] = []
         made: list[tuple[int, int, int]] = []
@@ -102,9 +122,13 @@ class Encoder:
             self.starts, self.sizes, self.doubtful = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.doubtful))
         for a in range(0, len(whole), 10_000):
             some = whole[a : a + 10_000]
-            rows = np.fromiter(map(self.places.__getitem__, some), np.int64, len(some))
-            self._put(rows, [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([self._text(p) for p in some], add_special_tokens=False)])
-            self.doubtful[rows] = [not p or p[-1].isspace() for p in some]
+            words = [p for p in some if self._one_word(p)] if self.mark is not None else []
+            others = [p for p in some if not self._one_word(p)] if self.mark is not None else some
+            for group, found in ((words, self._together(words)), (others, [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([self._text(p) for p in others], add_special_tokens=False)])):
+                rows = np.fromiter(map(self.places.__getitem__, group), np.int64, len(group))
+                if len(group):
+                    self._put(rows, found)
+                    self.doubtful[rows] = [not p or p[-1].isspace() for p in group]
         ids = lambda r: self.flat[self.starts[r] : self.starts[r] + self.sizes[r]]
         waiting = {row for row, _, _ in made}
         while made:  # a part may itself wait for its parts
