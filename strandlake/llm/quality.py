@@ -1,7 +1,7 @@
 """Operator 3, quality classifier: ordinal cumulative-link regression on graded ratings.
 
 One vector of weights over hashed words is shared by all grades; ordered thresholds cut its score: P(grade >= k) = sigmoid(score - threshold_k). It is
-fitted by full-gradient descent (Adam) in numpy on the driver, over a bounded sample of rated rows: the ``sample_rows`` with the smallest hashes. A word counts once for a text, so a single
+fitted by full-gradient descent (Adam) in numpy on the driver, over a bounded sample of rated rows: the ``sample_rows`` with the smallest hashes of ids. A word counts once for a text, so a single
 word can decide about a long text, and only buckets have a weight whose texts are graded differently from the rest beyond chance.
 """
 
@@ -95,19 +95,20 @@ def fit(at: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int, s
     return OrdinalModel(weights.astype(np.float32), limit)
 
 
-def fit_quality_model(rated: DataFrame, grade_col: str, n_grades: int, text_col: str = "text", sample_rows: int = 8000, buckets: int = 1 << 20) -> OrdinalModel:
-    """Learns from rows with a text and a grade from 0 to ``n_grades`` - 1; others take no part. ``sample_rows`` bounds what the driver receives."""
-    d = only(rated, text=text_col, grade=grade_col).where(F.col("text").isNotNull() & F.col("grade").between(0, n_grades - 1))
-    key = F.xxhash64("text", "grade")
-    least = d.select(key.alias("key")).distinct().orderBy("key").limit(sample_rows).agg(F.max("key")).first()[0]
-    if least is None:
-        return fit([], np.zeros(0), n_grades, buckets)
+def fit_quality_model(docs: DataFrame, ratings: DataFrame, n_grades: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = 8000, buckets: int = 1 << 20) -> OrdinalModel:
+    """Learns from documents with a text and a grade from 0 to ``n_grades`` - 1; others take no part.
+
+    ``sample_rows`` bounds the ratings that are used, those with the smallest hashes of their ids: so many go to the documents by broadcast, and what comes back to the driver is as many texts' buckets.
+    """
+    rated = only(ratings, id=id_col, grade=grade_col).where(F.col("id").isNotNull() & F.col("grade").between(0, n_grades - 1)).distinct()
+    sample = rated.orderBy(F.xxhash64("id"), "id", "grade").limit(sample_rows)
+    d = only(docs, of=id_col, text=text_col).where(F.col("text").isNotNull()).join(F.broadcast(sample), F.col("of") == F.col("id"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([features(t.as_py(), buckets).astype("<i4").tobytes() for t in batch.column(0).cast(pa.binary())], pa.binary())], names=["grade", "at"])
 
-    found = d.where(key <= least).dropDuplicates(["text", "grade"]).select("text", F.col("grade").cast("int")).mapInArrow(find, "grade int, at binary").toArrow()
+    found = d.select("text", F.col("grade").cast("int")).mapInArrow(find, "grade int, at binary").distinct().toArrow()
     found = found.sort_by([("grade", "ascending"), ("at", "ascending")])
     return fit([np.frombuffer(a, "<i4").astype(np.int64) for a in found["at"].to_pylist()], found["grade"].to_numpy(), n_grades, buckets)
 

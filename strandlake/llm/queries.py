@@ -33,7 +33,7 @@ GRADES = 3
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).when(F.col("quality") == 1, 2).alias("grade"))
-    model = quality.fit_quality_model(docs.join(labels, "doc_id"), "grade", GRADES)
+    model = quality.fit_quality_model(docs, labels, GRADES)
     return quality.grade_documents(docs, model, select_from=2)
 
 

@@ -188,7 +188,7 @@ def test_quality(spark):
     grade = F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1).otherwise(2)
     rated = docs.join(labels, "doc_id").withColumn("grade", grade)
     test = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = quality.fit_quality_model(rated.where(~test), "grade", 3)
+    model = quality.fit_quality_model(docs, rated.where(~test).select("doc_id", "grade"), 3)
     assert (np.diff(model.thresholds) > 0).all()
     r = quality.grade_documents(docs, model, 2).join(rated.where(test).select("doc_id", "grade"), "doc_id").toPandas()
     assert r[r.grade == 0].kept.mean() < 0.1 and r[r.grade == 2].kept.mean() > 0.95
@@ -200,4 +200,4 @@ def test_quality_edges(docs, texts, empty):
     rows = quality.grade_documents(docs, model, 1).collect()
     assert len(rows) == len(texts) and all(0 <= r.tail_prob <= 1 for r in rows)
     assert quality.grade_documents(empty, model, 1).count() == 0
-    assert quality.fit_quality_model(empty.withColumn("grade", F.lit(1)), "grade", 3, buckets=1 << 10).weights.sum() == 0
+    assert quality.fit_quality_model(empty, docs.select("doc_id", F.lit(1).alias("grade")), 3, buckets=1 << 10).weights.sum() == 0
