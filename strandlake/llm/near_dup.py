@@ -8,6 +8,9 @@ Documents with equal sets are one class and go on as their smallest id, so copie
 with one pivot, in a first round the smallest id and in a second the member with most links, and links are joined to components between. What both rounds leave are
 buckets whose members still lie in different components: only pairs across those are listed, at most once, and only if sizes allow the similarity. Every candidate is
 verified on full sets, made again from whole texts. Tables are written to the shared folder between stages.
+
+Pairs across components come from blocks: a bucket's members are packed, ``BLOCK`` at a time, with a bitmap of their hashed shingles each; blocks meet blocks of their bucket, and only
+pairs whose bitmaps allow the similarity leave them. Common bits plus the smaller number of shingles that share a bit bound the intersection from above, so none is lost.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import LOWER, mix64, only, spread, written
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Members in a block, and 64-bit words of a bitmap.
+BLOCK, WORDS = 512, 32
 
 
 class _Hashes(dict):
@@ -73,6 +78,13 @@ def small_keys(s: np.ndarray, collections: int, depth: int) -> np.ndarray:
     return out
 
 
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's hashes as bits."""
+    bits = np.zeros(WORDS * 64, bool)
+    bits[(mix64(s) % np.uint64(WORDS * 64)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(np.uint64)
+
+
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """100 * intersection >= percent * union, on sorted distinct hashes."""
     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -84,24 +96,22 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _marks(docs: DataFrame, k: int, collections: int, depth: int) -> DataFrame:
-    """doc_id, n_shingles, a and b (a fingerprint of the set, null if it is empty) and small keys."""
+    """doc_id, n_shingles, a and b (a fingerprint of the set, null if it is empty), small keys and bitmap."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys = [], [], [], []
+            n, a, b, keys, bits = [], [], [], [], []
             for text in batch.column(1).cast(pa.binary()):
                 s = shingle_set(text.as_py(), k)
                 n.append(len(s))
-                if len(s):
-                    # sums of two scrambles: independent of order, and the set is sorted anyway
-                    a.append(int(mix64(s).sum().astype(np.int64)))
-                    b.append(int(mix64(s * _ODD + np.uint64(7)).sum().astype(np.int64)))
-                    keys.append(small_keys(s, collections, depth).tobytes())
-                else:
-                    a.append(None), b.append(None), keys.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "keys"])
+                # sums of two scrambles don't depend on order
+                a.append(int(mix64(s).sum().astype(np.int64)) if len(s) else None)
+                b.append(int(mix64(s * _ODD + np.uint64(7)).sum().astype(np.int64)) if len(s) else None)
+                keys.append(small_keys(s, collections, depth).tobytes() if len(s) else None)
+                bits.append(bitmap(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "keys", "bits"])
 
-    return spread(docs).mapInArrow(mark, "doc_id long, n_shingles long, a long, b long, keys binary")
+    return spread(docs).mapInArrow(mark, "doc_id long, n_shingles long, a long, b long, keys binary, bits binary")
 
 
 def _table(classes: DataFrame, collections: int) -> DataFrame:
@@ -152,6 +162,52 @@ def _stars(table: DataFrame, percent: int) -> DataFrame:
     return ordered.select("key", "id", "n", "comp").mapInArrow(scan, "a long, b long").distinct()
 
 
+def _across(table: DataFrame, percent: int) -> DataFrame:
+    """(a, b) distinct, a < b: pairs of a bucket's members in different components whose sizes and bitmaps allow the similarity.
+
+    ``table``: key, id, n, comp, bits. Packing reads sorted buckets as a stream and holds one block; a row of the join is a pair of blocks.
+    """
+    names = ["id", "n", "comp"]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, block, held = None, 0, []
+
+        def shut() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int32()), *[pa.array([np.array([h[j] for h in held], "<i8").tobytes()], pa.binary()) for j in range(3)], pa.array([b"".join(h[3] for h in held)], pa.binary())], names=["key", "block", *names, "bits"])
+
+        for batch in batches:
+            for k, *row in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+                if held and (k != key or len(held) == BLOCK):
+                    yield shut()
+                    block, held = (block + 1 if k == key else 0), []
+                key = k
+                held.append(row)
+        if held:
+            yield shut()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*(batch.column(j).to_pylist() for j in range(8)), strict=True):
+                (ia, na, ca), (ib, nb, cb) = ([np.frombuffer(x, "<i8") for x in row[j : j + 3]] for j in (0, 4))
+                xa, xb = (np.frombuffer(row[j], np.uint64).reshape(-1, WORDS) for j in (3, 7))
+                ea, eb = na - np.bitwise_count(xa).sum(1), nb - np.bitwise_count(xb).sum(1)
+                found = []
+                for i in range(len(ia)):
+                    some = np.flatnonzero((ca[i] != cb) & (ia[i] != ib) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb)))
+                    if len(some):
+                        most = np.bitwise_count(xa[i] & xb[some]).sum(1, dtype=np.int64) + np.minimum(ea[i], eb[some])
+                        some = some[100 * most >= percent * (na[i] + nb[some] - most)]
+                        found.append(np.stack([np.minimum(ia[i], ib[some]), np.maximum(ia[i], ib[some])], 1))
+                pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["a", "b"])
+
+    packed = written(table.repartition("key").sortWithinPartitions("key", "n", "id").select("key", *names, "bits").mapInArrow(pack, "key long, block int, id binary, n binary, comp binary, bits binary"), "blocks")
+    x = packed.select("key", F.col("block").alias("ba"), *[F.col(c).alias(f"{c}a") for c in (*names, "bits")])
+    y = packed.select("key", F.col("block").alias("bb"), *[F.col(c).alias(f"{c}b") for c in (*names, "bits")])
+    met = x.join(y, "key").where("ba <= bb").select(*[f"{c}a" for c in (*names, "bits")], *[f"{c}b" for c in (*names, "bits")])
+    return met.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) with ``linked``."""
 
@@ -177,24 +233,30 @@ def components(links: DataFrame) -> DataFrame:
     Large stars and small stars in turn, each with one minimum for an id, until nothing moves; the number of rounds grows with the logarithm of the
     longest path. A hub's neighbours are never gathered: minima are pre-aggregated and joined back.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    state = None
+    edges, state = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large, "large")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
+        if now == state or not now[0]:
             break
         state = now
     ids = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
+def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` with ``comp`` moved to where ``links`` lead. Links become edges between components first, so only components that really meet go through the rounds."""
+    of = lambda side: members.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
+    met = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
+    moved = components(met).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
+    return members.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(members.columns)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, collections: int = 16, depth: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links lead to) and kept (doc_id = component_id) of each row.
 
@@ -205,36 +267,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = only(docs, doc_id=id_col, text=text_col)
     marks = written(_marks(d, k, collections, depth), "marks")
     named = marks.where("doc_id is not null and a is not null")
-    classes = named.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    classes = written(classes, "classes")
+    classes = written(named.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
     sets = named.join(classes.select("id", F.col("a").alias("ca"), F.col("b").alias("cb")), (F.col("doc_id") == F.col("id")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
-    sets = sets.select("id", F.col("n_shingles").alias("n"), "keys")
-    tried = _stars(_table(sets.select("keys", "id", "n", F.col("id").alias("comp"), F.lit(0).cast("long").alias("degree")), collections), percent)
-    tried = written(tried, "pairs")
+    sets = sets.select("id", F.col("n_shingles").alias("n"), "keys", "bits", F.col("id").alias("comp"), F.lit(0).cast("long").alias("degree"))
+    tried = written(_stars(_table(sets, collections), percent), "pairs")
     # all that have any possible partner in a bucket
     table_ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
     texts = written(d.join(table_ids.withColumnRenamed("id", "of"), F.col("doc_id") == F.col("of"), "left_semi"), "texts")
     known = written(_verified(tried, texts, k, percent), "verified")
+    links = known.where("linked").select("a", "b")
+    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    members = sets.join(table_ids, "id", "left_semi").drop("comp", "degree").join(components(links), "id", "left").join(degree, "id", "left")
+    members = members.select("id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("links", F.lit(0)).cast("long").alias("degree"), "keys", "bits")
+    table = _table(members, collections)
+    members = written(members.select("id", "n", "comp", "bits"), "members")
+    # buckets with one component need nothing more; two members have been compared already
+    mixed = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("key")
+    table = written(table.join(mixed, "key", "left_semi"), "mixed")
     for turn in ("most links", "all that is left"):
-        links = known.where("linked").select("a", "b")
-        comp = written(components(links), "components")
-        degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-        members = sets.join(table_ids, "id", "left_semi").join(comp, "id", "left").join(degree, "id", "left")
-        members = members.select("keys", "id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("links", F.lit(0)).cast("long").alias("degree"))
-        table = _table(members, collections)
-        # buckets with one component need nothing more; two members have been compared already
-        mixed = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("key")
-        table = table.join(mixed, "key", "left_semi")
         if turn == "most links":
             more = _stars(table, percent)
         else:
-            x = table.select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("xa"))
-            y = table.select("key", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("xb"))
-            fits = (F.col("a") < F.col("b")) & (F.col("xa") != F.col("xb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-            more = x.join(y, "key").where(fits).select("a", "b").distinct()
+            now = table.select("key", "id").join(members, "id")
+            open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            more = _across(now.join(open_, "key", "left_semi"), percent)
         more = written(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        known = written(known.unionByName(_verified(more, texts, k, percent)), "verified")
-    comp = components(known.where("linked").select("a", "b"))
-    answer = classes.join(comp, "id", "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("comp", "id").alias("component"), "copies", "comp").where("copies > 1 or comp is not null").drop("copies", "comp")
+        if more.isEmpty():
+            continue
+        found = written(_verified(more, texts, k, percent), "verified")
+        known = known.unionByName(found)
+        members = written(_joined(members, found.where("linked").select("a", "b")), "members")
+    comp = members.where("comp <> id").select("id", "comp")
+    answer = classes.join(comp, "id", "left").where("copies > 1 or comp is not null").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("comp", "id").alias("component"))
     out = marks.join(answer, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
