@@ -36,7 +36,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -110,6 +110,7 @@ def _marks(docs: DataFrame, k: int, collections: int, depth: int) -> DataFrame:
                 keys.append(small_keys(s, collections, depth).tobytes() if len(s) else None)
                 bits.append(bitmap(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "keys", "bits"])
+        _words.clear()  # the worker goes on to other stages
 
     return spread(docs).mapInArrow(mark, "doc_id long, n_shingles long, a long, b long, keys binary, bits binary")
 

@@ -26,12 +26,12 @@ def cuts(n: int, context: int) -> list[int]:
     return out + [1 << k for k in range(context.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", context: int = 1024, end_id: int = 0, with_tokens: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", context: int = 1024, end_id: int = 0, with_tokens: bool = True, remembered: int = 500_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, bucket (log2 of length), tokens (unless left out), sequence_id, offset (always 0).
 
     A null or empty text holds the end id alone: one piece of length 1. A null id stays null; repeated rows are documents of their own. An empty table gives
     no rows. A sequence id is unique and is the same again when a task is repeated, since it counts within a partition of the input.
-    ``context`` must be a power of two.
+    ``context`` must be a power of two. ``remembered`` bounds the words that a worker keeps encoded, and with it its memory; results don't depend on it.
     """
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
@@ -41,7 +41,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     out = pa.schema(fields)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = encoder(tokenizer_path)
+        codes = encoder(tokenizer_path, remembered)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):

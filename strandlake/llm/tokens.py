@@ -163,11 +163,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """This process's encoder of a vocabulary file; it works on the task's own core only."""
+def encoder(path: str, most: int = 1_000_000) -> Encoder:
+    """This process's encoder of a vocabulary file; it works on the task's own core only and stays for the worker's next tasks, with ``most`` pieces at most."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, most)
     return _encoders[path]
