@@ -115,6 +115,11 @@ def _marks(docs: DataFrame, k: int, collections: int, depth: int) -> DataFrame:
     return spread(docs).mapInArrow(mark, "doc_id long, n_shingles long, a long, b long, keys binary, bits binary")
 
 
+def _table_key(left: np.ndarray, right: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Key of a pair of small keys, the one of the lower collection first; ``number``: of the pair of collections."""
+    return mix64(mix64(left + number) + right * _ODD).astype(np.int64)
+
+
 def _table(classes: DataFrame, collections: int) -> DataFrame:
     """A row (key, and what else describes the class) for each pair of small keys."""
     pairs = list(combinations(range(collections), 2))
@@ -125,7 +130,7 @@ def _table(classes: DataFrame, collections: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 some = batch.slice(at, 1024)
                 x = np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint64).reshape(-1, collections)
-                key = mix64(mix64(x[:, left] + np.arange(len(pairs), dtype=np.uint64)) + x[:, right] * _ODD).astype(np.int64)
+                key = _table_key(x[:, left], x[:, right], np.arange(len(pairs), dtype=np.uint64))
                 rest = [c.take(pa.array(np.repeat(np.arange(some.num_rows), len(pairs)))) for c in some.columns[1:]]
                 yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *rest], names=["key", *some.schema.names[1:]])
 
@@ -163,21 +168,24 @@ def _stars(table: DataFrame, percent: int) -> DataFrame:
     return ordered.select("key", "id", "n", "comp").mapInArrow(scan, "a long, b long").distinct()
 
 
-def _across(table: DataFrame, percent: int) -> DataFrame:
+def _across(table: DataFrame, percent: int, collections: int) -> DataFrame:
     """(a, b) distinct, a < b: pairs of a bucket's members in different components whose sizes and bitmaps allow the similarity.
 
-    ``table``: key, id, n, comp, bits. Packing reads sorted buckets as a stream and holds one block; a row of the join is a pair of blocks.
+    ``table``: key, id, n, comp, bits, keys. Packing reads sorted buckets as a stream and holds one block; a row of the join is a pair of blocks.
     """
-    names = ["id", "n", "comp"]
+    names, both = ["id", "n", "comp"], ["bits", "keys"]
+    number = np.zeros((collections, collections), np.uint64)
+    for i, (a, b) in enumerate(combinations(range(collections), 2)):
+        number[a, b] = number[b, a] = i
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, block, held = None, 0, []
 
         def shut() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int32()), *[pa.array([np.array([h[j] for h in held], "<i8").tobytes()], pa.binary()) for j in range(3)], pa.array([b"".join(h[3] for h in held)], pa.binary())], names=["key", "block", *names, "bits"])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int32()), *[pa.array([np.array([h[j] for h in held], "<i8").tobytes()], pa.binary()) for j in range(3)], *[pa.array([b"".join(h[j] for h in held)], pa.binary()) for j in (3, 4)]], names=["key", "block", *names, "bits", "keys"])
 
         for batch in batches:
-            for k, *row in zip(*(batch.column(j).to_pylist() for j in range(5)), strict=True):
+            for k, *row in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
                 if held and (k != key or len(held) == BLOCK):
                     yield shut()
                     block, held = (block + 1 if k == key else 0), []
@@ -188,9 +196,10 @@ def _across(table: DataFrame, percent: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(j).to_pylist() for j in range(8)), strict=True):
-                (ia, na, ca), (ib, nb, cb) = ([np.frombuffer(x, "<i8") for x in row[j : j + 3]] for j in (0, 4))
-                xa, xb = (np.frombuffer(row[j], np.uint64).reshape(-1, WORDS) for j in (3, 7))
+            for row in zip(*(batch.column(j).to_pylist() for j in range(11)), strict=True):
+                (ia, na, ca), (ib, nb, cb) = ([np.frombuffer(x, "<i8") for x in row[j : j + 3]] for j in (0, 5))
+                xa, xb = (np.frombuffer(row[j], np.uint64).reshape(-1, WORDS) for j in (3, 8))
+                ka, kb = (np.frombuffer(row[j], np.uint64).reshape(-1, collections) for j in (4, 9))
                 ea, eb = na - np.bitwise_count(xa).sum(1), nb - np.bitwise_count(xb).sum(1)
                 found = []
                 for i in range(len(ia)):
@@ -198,14 +207,20 @@ def _across(table: DataFrame, percent: int) -> DataFrame:
                     if len(some):
                         most = np.bitwise_count(xa[i] & xb[some]).sum(1, dtype=np.int64) + np.minimum(ea[i], eb[some])
                         some = some[100 * most >= percent * (na[i] + nb[some] - most)]
+                        # a pair leaves the bucket of its first two equal small keys, and no other
+                        same = kb[some] == ka[i]
+                        one = same.argmax(1)
+                        same[np.arange(len(some)), one] = False
+                        two = same.argmax(1)
+                        some = some[_table_key(ka[i][one], ka[i][two], number[one, two]) == row[10]]
                         found.append(np.stack([np.minimum(ia[i], ib[some]), np.maximum(ia[i], ib[some])], 1))
                 pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["a", "b"])
 
-    packed = written(table.repartition("key").sortWithinPartitions("key", "n", "id").select("key", *names, "bits").mapInArrow(pack, "key long, block int, id binary, n binary, comp binary, bits binary"), "blocks")
-    x = packed.select("key", F.col("block").alias("ba"), *[F.col(c).alias(f"{c}a") for c in (*names, "bits")])
-    y = packed.select("key", F.col("block").alias("bb"), *[F.col(c).alias(f"{c}b") for c in (*names, "bits")])
-    met = x.join(y, "key").where("ba <= bb").select(*[f"{c}a" for c in (*names, "bits")], *[f"{c}b" for c in (*names, "bits")])
+    packed = written(table.repartition("key").sortWithinPartitions("key", "n", "id").select("key", *names, *both).mapInArrow(pack, "key long, block int, id binary, n binary, comp binary, bits binary, keys binary"), "blocks")
+    x = packed.select("key", F.col("block").alias("ba"), *[F.col(c).alias(f"{c}a") for c in (*names, *both)])
+    y = packed.select("key", F.col("block").alias("bb"), *[F.col(c).alias(f"{c}b") for c in (*names, *both)])
+    met = x.join(y, "key").where("ba <= bb").select(*[f"{c}a" for c in (*names, *both)], *[f"{c}b" for c in (*names, *both)], "key")
     return met.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -281,7 +296,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = sets.join(table_ids, "id", "left_semi").drop("comp", "degree").join(components(links), "id", "left").join(degree, "id", "left")
     members = members.select("id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("links", F.lit(0)).cast("long").alias("degree"), "keys", "bits")
     table = _table(members, collections)
-    members = written(members.select("id", "n", "comp", "bits"), "members")
+    members = written(members.select("id", "n", "comp", "bits", "keys"), "members")
     # buckets with one component need nothing more; two members have been compared already
     mixed = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("key")
     table = written(table.join(mixed, "key", "left_semi"), "mixed")
@@ -291,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         else:
             now = table.select("key", "id").join(members, "id")
             open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            more = _across(now.join(open_, "key", "left_semi"), percent)
+            more = _across(now.join(open_, "key", "left_semi"), percent, collections)
         more = written(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if more.isEmpty():
             continue
