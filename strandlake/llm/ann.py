@@ -2,8 +2,8 @@
 
 The nearest in Euclidean distance has the largest inner product of (q, 1) with (x, -|x|^2 / 2). A vector so extended goes to its coarse cell, and its residual is quantised in
 subspaces of two dimensions with 16 codes each; a code is chosen to make small the quantisation error with the part parallel to the vector weighted ``eta`` times,
-since that part moves high inner products. Tables of 16 numbers for each query and subspace are added up over the four-bit codes, and the best of a chunk are
-ranked by exact distances.
+since that part moves high inner products. Tables of 16 numbers for each query and subspace are added up over the four-bit codes. The best of a chunk by these sums get exact distances
+first; then so does every other row that, by the stored length of its quantisation error, can be as near as the last of them: within the cells probed nothing is lost.
 
 Centres and codes are fitted on the ``sample_rows`` vectors with the smallest id hashes; every row is indexed. Rows are packed by cell into chunks of bounded size where they
 are read, queries into packs for the cells they probe, and chunks meet packs by cell: no row meets a query outside a block of both.
@@ -114,26 +114,64 @@ def enough_probes(x: np.ndarray, cells: np.ndarray, share: float = 0.98, asked:
     return int(at[min(len(at) - 1, int(np.ceil(share * len(at))))]) + 1
 
 
-def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells, and codes two to a byte."""
+def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, codes two to a byte, and what the codes leave out of a product with (q, 1): with the error e of the vector and f of its half square, and the cell's centre c, the
+    number c . e + f, which is the same for all queries, and |e|, as the rest (q - c) . e is at most |q - c| |e|."""
     long = extended(x.astype(np.float64))
-    cell = nearest_cells(x.astype(np.float64), index.cells.astype(np.float64))[:, 0]
-    codes = assign_codes(long - extended(index.cells.astype(np.float64))[cell], _direction(long), index.books.astype(np.float64), index.eta).astype(np.uint8)
+    centres, books = index.cells.astype(np.float64), index.books.astype(np.float64)
+    cell = nearest_cells(x.astype(np.float64), centres)[:, 0]
+    residual = long - extended(centres)[cell]
+    codes = assign_codes(residual, _direction(long), books, index.eta).astype(np.uint8)
+    error = residual - books[np.arange(len(books))[None, :], codes].reshape(residual.shape)
+    e = error[:, : index.dim]
+    left_out = np.stack([(e * centres[cell]).sum(1) + error[:, index.dim], np.linalg.norm(e, axis=1)], 1)
     if codes.shape[1] % 2:
         codes = np.concatenate([codes, np.zeros((len(codes), 1), np.uint8)], 1)
-    return cell, codes[:, ::2] | codes[:, 1::2] << 4
+    return cell, codes[:, ::2] | codes[:, 1::2] << 4, left_out
 
 
 def table_scan(index: Index, cell: int, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
     """Approximate inner products (queries x rows) of one cell's rows."""
     q = np.concatenate([queries, np.ones((len(queries), 1)), *([np.zeros((len(queries), 1))] if index.dim % 2 == 0 else [])], 1)
-    tables = np.einsum("qmd,mkd->mqk", q.reshape(len(q), -1, 2), index.books).astype(np.float32)
-    out = np.repeat((q @ extended(index.cells[cell : cell + 1].astype(np.float64)).T).astype(np.float32), len(packed), 1)
+    tables = np.einsum("qmd,mkd->mqk", q.reshape(len(q), -1, 2), index.books.astype(np.float64))
+    out = np.repeat(q @ extended(index.cells[cell : cell + 1].astype(np.float64)).T, len(packed), 1)
     for s, table in enumerate(tables):
         out += table[:, packed[:, s // 2] >> (4 * (s % 2)) & 15]
     return out
 
 
+def nearest_ids(ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best scores of distinct ids, ties to the smaller id."""
+    order = np.lexsort((ids, score))
+    _, first = np.unique(ids[order], return_index=True)
+    return order[np.sort(first)[:k]]
+
+
+def nearest_of_chunk(index: Index, cell: int, qids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, packed: np.ndarray, left_out: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, ids, distances) of each query's ``k`` nearest rows of one chunk, exactly."""
+    guess = table_scan(index, cell, q, packed) + left_out[None, :, 0]
+    off = np.linalg.norm(q - index.cells[cell].astype(np.float64), axis=1)
+    square = (q * q).sum(1)
+    slack = 1e-9 * (square + (x * x).sum(1).max())  # far more than sums in double precision are off
+    least = (square - slack)[:, None] - 2 * (guess + off[:, None] * left_out[None, :, 1])  # no squared distance is below
+    other = qids[:, None] != ids[None, :]
+    guess[~other] = -np.inf
+    first = np.argpartition(-guess, rerank - 1, 1)[:, :rerank] if len(ids) > rerank else np.repeat(np.arange(len(ids))[None, :], len(q), 0)
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for i, a in enumerate(q):
+        at = first[i][other[i, first[i]]]
+        score = np.sqrt(((a - x[at]) ** 2).sum(1))
+        best = nearest_ids(ids[at], score, k)
+        open_ = other[i] if len(best) < k else other[i] & (least[i] <= score[best[-1]] ** 2)
+        open_[at] = False
+        if open_.any():
+            more = np.flatnonzero(open_)
+            at, score = np.concatenate([at[best], more]), np.concatenate([score[best], np.sqrt(((a - x[more]) ** 2).sum(1))])
+            best = nearest_ids(ids[at], score, k)
+        out.append((np.full(len(best), qids[i]), ids[at[best]], score[best]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
 def _usable(v: Column) -> Column:
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
     return v.isNotNull() & F.coalesce(F.forall(v, sound), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
@@ -148,7 +186,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
 
     A query meets every row but those of its own id; with fewer than ``k`` it has that many rows. Vectors that are null, zero, of another number of dimensions than most, or that hold
     null or non-finite components take no part, nor do rows without id. Repeated rows of one id count as its nearest. ``probe``: cells a query looks into, unless given as many as the
-    sample shows to hold 98 of 100 neighbours. Empty tables, on either side, give no rows.
+    sample shows to hold 98 of 100 neighbours; a query goes on to further cells until those it looks into hold ``k`` other ids. ``rerank``: rows of a chunk that get exact distances
+    first, before those that can still be as near. Empty tables, on either side, give no rows.
     """
     spark = vectors.sparkSession
     names = {"vec_id": id_col, "v": vector_col}
@@ -164,25 +203,38 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     fitted = fit_index(_matrix(sample, dim), n_cells)
     shared = spark.sparkContext.broadcast(fitted)  # centres and codes, whatever the data
     probes = min(n_cells, probe or fitted.probes)
+    held_ids = np.zeros(n_cells, np.int64)  # ids by cell, each counted in one cell alone
+
+    def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centres = shared.value.cells.astype(np.float64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nearest_cells(_matrix(some.column(1), dim).astype(np.float64), centres)[:, 0], pa.int32())], names=["vec_id", "cell"])
+
+    if probes < n_cells:
+        for r in spread(rows).mapInArrow(cells_of, "vec_id long, cell int").groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
+            held_ids[r["cell"]] = r["n"]
 
     def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         waiting = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            ids, x, cell, codes = (np.concatenate(c) for c in zip(*held, strict=True))
+            ids, x, cell, codes, left_out = (np.concatenate(c) for c in zip(*held, strict=True))
             order = np.lexsort((ids, cell))
             # of one vector's copies the smallest ids alone can be among the nearest: one more than k, as one may be the query
             _, same = np.unique(x[order], axis=0, return_inverse=True)
             by = np.argsort(same, kind="stable")
+            by = by[np.concatenate([[True], (np.diff(same[by]) != 0) | (np.diff(ids[order][by]) != 0)])]  # repeated rows are one
             nth = np.arange(len(by)) - np.maximum.accumulate(np.where(np.diff(same[by], prepend=-1) != 0, np.arange(len(by)), 0))
             order = order[np.sort(by[nth <= k])]
             for c in np.unique(cell[order]):
                 own = order[cell[order] == c]
                 for at in range(0, len(own), chunk):
                     some = own[at : at + chunk]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([x[some].astype("<f4").tobytes()]), pa.array([codes[some].tobytes()])], names=["cell", "ids", "x", "codes"])
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([x[some].astype("<f4").tobytes()]), pa.array([codes[some].tobytes()]), pa.array([left_out[some].astype("<f8").tobytes()])], names=["cell", "ids", "x", "codes", "left_out"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -200,9 +252,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
         index = shared.value
         for batch in batches:
             ids, x = batch.column(0).to_numpy(), _matrix(batch.column(1), dim)
-            near = nearest_cells(x.astype(np.float64), index.cells.astype(np.float64), probes)
-            for c in np.unique(near):
-                own = np.flatnonzero((near == c).any(1))
+            near = nearest_cells(x.astype(np.float64), index.cells.astype(np.float64), n_cells)
+            before = np.cumsum(held_ids[near], 1) - held_ids[near]
+            into = (np.arange(n_cells) < probes) | (before <= k)  # k others and perhaps the query itself
+            for c in np.unique(near[into]):
+                own = np.flatnonzero(((near == c) & into).any(1))
                 for at in range(0, len(own), 256):
                     some = own[at : at + 256]
                     yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([x[some].astype("<f4").tobytes()])], names=["cell", "qids", "q"])
@@ -210,23 +264,15 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            for cell, ids, x, codes, qids, q in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
+            for cell, ids, x, codes, left_out, qids, q in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
                 ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
                 x, q = np.frombuffer(x, "<f4").reshape(-1, dim).astype(np.float64), np.frombuffer(q, "<f4").reshape(-1, dim).astype(np.float64)
-                guess = table_scan(index, cell, q, np.frombuffer(codes, np.uint8).reshape(len(ids), -1))
-                guess[qids[:, None] == ids[None, :]] = -np.inf
-                best = np.argsort(-guess, 1, kind="stable")[:, :rerank]
-                score = np.sqrt(((q[:, None, :] - x[best]) ** 2).sum(2)) if len(ids) * len(q) < 1 << 22 else np.stack([np.sqrt(((a - x[b]) ** 2).sum(1)) for a, b in zip(q, best, strict=True)])
-                score[qids[:, None] == ids[best]] = np.inf
-                order = np.lexsort((ids[best], score), axis=1)[:, :k]
-                score = np.take_along_axis(score, order, 1)
-                found = ids[np.take_along_axis(best, order, 1)]
-                real = np.isfinite(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, real.sum(1))), pa.array(found[real]), pa.array(score[real])], names=["query_id", "vec_id", "score"])
-
-    left = spread(rows).mapInArrow(chunks, "cell int, ids binary, x binary, codes binary")
+                found = nearest_of_chunk(index, cell, qids, q, ids, x, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(left_out, "<f8").reshape(-1, 2), k, rerank)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
+
+    left = spread(rows).mapInArrow(chunks, "cell int, ids binary, x binary, codes binary, left_out binary")
     right = asked.mapInArrow(packs, "cell int, qids binary, q binary")
-    met = left.join(right, "cell").select("cell", "ids", "x", "codes", "qids", "q").mapInArrow(scan, kinds)
+    met = left.join(right, "cell").select("cell", "ids", "x", "codes", "left_out", "qids", "q").mapInArrow(scan, kinds)
     once = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -136,3 +136,37 @@ def test_codes_pay_for_the_parallel_error():
         e = (long - ann.extended(index.cells.astype(np.float64))) - np.concatenate([books[s][codes[:, s]] for s in range(len(books))], 1)
         error[eta] = float(((e * ann._direction(long)).sum(1) ** 2).mean())
     assert error[8.0] < error[1.0] and u.shape == x.shape
+
+
+def _recall(got, want):
+    return sum(r.vec_id in {i for _, i in want[r.query_id]} for r in got) / sum(map(len, want.values()))
+
+
+def test_a_tight_cluster_loses_no_neighbours(spark):
+    """A third of all rows in one cluster of a twentieth of the usual spread, no two of them equal."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4500, 32)).astype(np.float32)
+    x[::3] = (2 + 0.05 * rng.normal(size=(1500, 32))).astype(np.float32)
+    vectors = [(i, v.astype(np.float64)) for i, v in enumerate(x)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors], "vec_id long, embedding array<float>")
+    asked = {i for i in range(0, 4500, 75)} | {i for i in range(1, 4500, 150)}
+    want = exact(vectors, [vectors[i] for i in sorted(asked)])
+    hot = {i: w for i, w in want.items() if i % 3 == 0}
+    queries = df.where(F.col("vec_id").isin(sorted(asked)))
+    got = ann.nearest_neighbours(df, queries).collect()  # one cell: exact
+    assert len(got) == 10 * len(want) and _recall(got, want) == 1
+    got = ann.nearest_neighbours(df, queries, rows_per_cell=300).collect()
+    assert _recall([r for r in got if r.query_id in hot], hot) >= 0.95
+
+
+def test_further_cells_until_enough_are_found(spark):
+    """Cells of few rows, and ids repeated with equal and with other vectors."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=3) + 40 * (i // 4)).tolist()) for i in range(240)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.nearest_neighbours(df, df, rows_per_cell=8, probe=1).groupBy("query_id").count().collect()
+    assert len(got) == 240 and {r["count"] for r in got} == {10}
+    rows = [(1, [1.0, 1.0])] * 30 + [(2, [1.0, 1.0 + i / 1000]) for i in range(200)] + [(i, [1.0, 1.0]) for i in range(3, 9)] + [(i, [5.0, float(i)]) for i in range(9, 300)]
+    few = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = ann.nearest_neighbours(few, few.where("vec_id = 3").limit(1)).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 4, 5, 6, 7, 8, 9, 10, 11]
