@@ -13,7 +13,7 @@ from strandlake.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the language model refuses: without letters, or less likely in any language than all but very few held-out ones."""
+    """Drops documents that the language model refuses: without letters, unlikely in every language, or of stranger subwords than held-out ones."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
     return langid.keep_accepted(docs, langid.fit_language_model(docs.where(fold != 2)))
 

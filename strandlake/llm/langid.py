@@ -3,7 +3,8 @@
 A text's letters (white space and ASCII non-letters become one kind of blank, A-Z lower case) give all byte n-grams of 1 to 4 within words, hashed into ``buckets``. The
 text's vector is the mean of their embeddings, a linear layer and a softmax give languages. Embeddings and layer are trained together by stochastic gradient descent in
 numpy on the driver, over a bounded sample of labelled rows: the ``sample_rows`` with the smallest hashes of text and language. A part of the sample is kept from training to
-calibrate: a temperature by likelihood, and a rejection threshold under which at most a share ``alpha`` of that part falls.
+calibrate: a temperature by likelihood, a threshold for the largest probability, and a limit of strangeness. A text is strange by as much as its subwords are rarer, on average, in the
+language that it is given than those of that language's texts; so texts in none of the languages are rejected whatever their largest probability.
 """
 
 from __future__ import annotations
@@ -57,11 +58,33 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float
     threshold: float
+    rarity: np.ndarray  # buckets x languages: minus the logarithm of a subword's share
+    usual: np.ndarray  # of each language: rarity of a text's subwords on average
+    limit: float  # of strangeness
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Calibrated probabilities of the languages for rows of counts."""
-        mean = counts / np.maximum(counts.sum(1, keepdims=True), 1)
-        return _softmax((mean.astype(np.float32) @ self.embed @ self.layer + self.bias) / self.temperature)
+        return _softmax((_means(counts) @ self.embed @ self.layer + self.bias) / self.temperature)
+
+    def judged(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The likeliest language of rows of counts, its probability, and whether it is refused."""
+        p = self.scores(counts)
+        best, top = p.argmax(1), p.max(1)
+        return best, top, (top < self.threshold) | (_strange(counts, self.rarity, self.usual, best) > self.limit)
+
+
+#: So many subwords, about four words, make a text's mean rarity as uncertain as it differs between long texts of a language.
+_FEW = 64
+
+
+def _means(counts: np.ndarray) -> np.ndarray:
+    return (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+
+
+def _strange(counts: np.ndarray, rarity: np.ndarray, usual: np.ndarray, lang: np.ndarray) -> np.ndarray:
+    """How much rarer than usual in a language the subwords of rows are; less of it counts in short texts."""
+    over = (_means(counts) @ rarity)[np.arange(len(counts)), lang] - usual[lang]
+    return over / np.sqrt(1 + _FEW / np.maximum(counts.sum(1), 1))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -69,8 +92,13 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30, rate: float = 8.0, batch: int = 32, alpha: float = 0.0005, seed: int = 7) -> LanguageModel:
-    """Trains on rows of counts. Without rows the model knows no language and rejects all; with one language it always answers that."""
+def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30, rate: float = 8.0, batch: int = 32, alpha: float = 0.0025, margin: float = 1.25, seed: int = 7) -> LanguageModel:
+    """Trains on rows of counts. Without rows the model knows no language and rejects all; with one language it always answers that.
+
+    Rejection follows from correctly answered held-out rows alone, so misjudged or mislabelled ones don't loosen it. The threshold is passed by all but a share ``alpha`` of them, or the
+    smallest share that so many rows show; it lies above the probability that every text reaches. The limit is ``margin`` times the strangeness that such a share exceeds, and at most
+    half that of random subwords; that half alone where fewer than 100 rows would have to show it.
+    """
     languages = sorted(set(labels))
     rng = np.random.default_rng(seed)
     buckets = counts.shape[1] if len(counts) else 1
@@ -78,8 +106,8 @@ def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
     layer = np.zeros((dim, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
     if not len(counts) or not languages:
-        return LanguageModel(languages, embed, layer, bias, 1.0, 1.0)
-    x = (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
+        return LanguageModel(languages, embed, layer, bias, 1.0, 1.0, np.zeros((buckets, len(languages)), np.float32), np.zeros(len(languages)), 0.0)
+    x = _means(counts)
     y = np.searchsorted(languages, labels)
     order = rng.permutation(len(x))
     hold = order[: max(1, len(x) // 5)] if len(x) >= 20 else order
@@ -101,9 +129,23 @@ def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
     at = np.arange(len(hold))
     heat = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(z / t)[at, y[hold]] + 1e-12).mean())
     p = _softmax(z / heat)
-    sure = np.sort(p[at, y[hold]])
-    # rejected if less likely than all but a share alpha of held-out answers, and in no case if likelier than not
-    return LanguageModel(languages, embed, layer, bias, float(heat), float(min(np.quantile(sure, alpha), 0.5)))
+    # each text counts alike, and one more text holds all subwords alike
+    share = np.stack([(x[train][y[train] == k].sum(0) + 1 / buckets) / ((y[train] == k).sum() + 1) for k in range(len(languages))], 1)
+    rarity = -np.log(share).astype(np.float32)
+    own = (x @ rarity)[np.arange(len(x)), y]
+    right = p.argmax(1) == y[hold]
+    if not right.any():
+        right[:] = True
+    known = hold[right]
+    usual = np.array([np.median(own[some if len(some := known[y[known] == k]) else y == k]) for k in range(len(languages))])
+    alpha = max(alpha, 1 / len(known))
+    limit = 0.5 * float((rarity.mean(0) - usual).min())
+    if len(known) >= 100:
+        limit = min(limit, margin * max(0.0, float(np.quantile(_strange(counts[known], rarity, usual, y[known]), 1 - alpha))))
+    # rejected if less likely than all but very few answers, and not if likelier than not, but in any case near the probability that all texts reach
+    least = 0.0 if len(languages) == 1 else 1.2 / len(languages)
+    threshold = max(min(float(np.quantile(p.max(1)[right], alpha)), 0.5), least)
+    return LanguageModel(languages, embed, layer, bias, float(heat), threshold, rarity, usual, limit)
 
 
 def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = 4000, buckets: int = 1 << 12) -> LanguageModel:
@@ -144,14 +186,13 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
         m = shared.value
         for batch in batches:
             texts = batch.column(1)
-            langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+            langs, scores, refused = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
             for at in range(0, len(texts), 64):
                 some = [i for i in range(at, min(at + 64, len(texts))) if texts[i].is_valid and has_letters(texts[i].as_py())]
                 if some and m.languages:
-                    p = m.scores(np.stack([subword_counts(texts[i].as_py().encode("utf-8", "surrogatepass"), m.embed.shape[0]) for i in some]))
-                    for i, best, s in zip(some, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-                        langs[i], scores[i] = m.languages[best], min(1.0, max(0.0, s))
-            refused = [lang == "und" or s < m.threshold for lang, s in zip(langs, scores, strict=True)]
+                    found = m.judged(np.stack([subword_counts(texts[i].as_py().encode("utf-8", "surrogatepass"), m.embed.shape[0]) for i in some]))
+                    for i, best, s, no in zip(some, *(c.tolist() for c in found), strict=True):
+                        langs[i], scores[i], refused[i] = m.languages[best], min(1.0, max(0.0, s)), no
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs), pa.array(scores, pa.float64()), pa.array(refused)], names=["doc_id", "lang_pred", "score", "rejected"])
 
     return spread(only(docs, doc_id=id_col, text=text_col)).mapInArrow(predict, "doc_id long, lang_pred string, score double, rejected boolean")
@@ -170,7 +211,7 @@ def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text")
             for at in range(0, len(texts), 64):
                 some = [i for i in range(at, min(at + 64, len(texts))) if texts[i].is_valid and has_letters(texts[i].as_py())]
                 if some and m.languages:
-                    good[some] = m.scores(np.stack([subword_counts(texts[i].as_py().encode("utf-8", "surrogatepass"), m.embed.shape[0]) for i in some])).max(1) >= m.threshold
+                    good[some] = ~m.judged(np.stack([subword_counts(texts[i].as_py().encode("utf-8", "surrogatepass"), m.embed.shape[0]) for i in some]))[2]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], names=["row"])
 
     return d.mapInArrow(keep, d.select("row").schema).select("row.*")

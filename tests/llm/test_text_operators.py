@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -177,6 +178,23 @@ def test_language_edges(docs, texts, empty):
     assert keyed(r.text for r in langid.keep_accepted(docs, model).collect()) == keyed(t for i, t in texts if not any(r.rejected and r.doc_id == i for r in rows) or (i is None and t))
 
 
+def test_language_refuses_what_it_has_not_learned(spark):
+    """Gibberish, other scripts and a language left out of the labelled rows go, held-out documents stay, also with a few labels wrong."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    rng = random.Random(2)
+    odd = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxzaeiouy") for _ in range(rng.randint(3, 9))) for _ in range(n)) for n in (5, 10, 40, 200) for _ in range(10)]
+    odd += ["Привет, как дела? Сегодня хорошая погода, и мы идём гулять.", "これは日本語の文章です。今日はとても良い天気ですね。"]
+    odd = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    wrong = F.when(F.col("doc_id") % 100 == 7, "es").otherwise(F.col("lang")).alias("lang")
+    for label in ("lang", wrong):
+        model = langid.fit_language_model(docs.where("lang <> 'de'").where(fold != 2).select("doc_id", "text", label))
+        share = lambda d, m=model: langid.predict_language(d, m).agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+        assert share(odd) > 0.97 and langid.keep_accepted(odd, model).count() <= 1
+        assert share(docs.where("lang = 'de'")) > 0.95
+        assert share(docs.where(fold == 2).where("lang <> 'de'")) < 0.005
+
+
 def test_fold_matches_zlib(spark):
     rows = spark.range(200).select("id", (F.crc32(F.col("id").cast("string").cast("binary")) % 4).alias("f")).collect()
     assert all(r.f == zlib.crc32(str(r.id).encode()) % 4 for r in rows)
