@@ -1,7 +1,7 @@
 """Operator 10, personal data by anchor expansion.
 
-One Aho-Corasick pass over a text finds anchors: at-signs, schemes, plus signs before digits, dots and separators between digits, runs of twelve digits, and words that
-announce an identifier. From each anchor a local parser expands to both sides and validates what it has found. Every parser looks no further than its
+One Aho-Corasick pass over a text with ASCII letters in lower case finds anchors: at-signs, schemes, plus signs before digits, dots and separators between digits, runs of twelve digits,
+words that announce an identifier, and digits behind two capital letters, where an IBAN can begin. From each anchor a local parser expands to both sides and validates what it has found. Every parser looks no further than its
 own run of characters, and a kind goes on after its last match, so the spans are those of a leftmost, non-overlapping search.
 
 Kinds: email, ip, card (Luhn), phone, and beyond these account (an IBAN with right check digits, or the number after an identifier cue) and login (the user part of an
@@ -32,6 +32,8 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 _AFTER_CUE = re.compile(r"(?: (?:number|no|nr|id))?\.?[ \t]{0,2}[:#=]?[ \t]{0,2}([A-Za-z]{0,3}[0-9](?:[ -]?[0-9]){5,33})(?![A-Za-z0-9])", re.IGNORECASE)
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@[A-Za-z0-9.-])")
 
@@ -55,22 +57,37 @@ def _automaton():
 
     found = ahocorasick.Automaton()
     for word, kind in [("@", "email"), ("://", "login"), ("+", "phone"), *[(c, "account") for c in CUES]]:
-        for form in {word, word.upper(), word.capitalize()}:
-            found.add_word(form, (kind, len(word)))
+        found.add_word(word, (kind, len(word)))
     for d in "0123456789":
         found.add_word(d, ("digit", 1))
     found.make_automaton()
     return found
 
 
+def _iban_end(text: str, start: int, within: bool = False) -> int:
+    """The end of the longest IBAN with right check digits that begins at ``start`` and doesn't end within a word, unless it may; 0 if there is none."""
+    if not (m := _IBAN.match(text, start)):
+        return 0
+    code = m[0]
+    while len(code) >= 15:
+        after = text[start + len(code) : start + len(code) + 1]
+        if code[-1] != " " and (within or not (after.isascii() and after.isalnum())) and iban_valid(code):
+            return start + len(code)
+        code = code[:-1]
+    return 0
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all personal data in a text, by start and kind; code points, end exclusive."""
     out: list[tuple[int, int, str]] = []
     done = dict.fromkeys(KINDS, 0)  # a kind's search has come so far
-    for at, (kind, width) in _automaton().iter(text):
+    for at, (kind, width) in _automaton().iter(text.translate(_LOWER)):
         if kind == "digit":
             if at and text[at - 1] in _DIGITS:
                 continue  # inside a run of digits: what fails from its first fails from here
+            if at - 2 >= done["account"] and text[at - 1 : at] in _CAPITALS and text[at - 2 : at - 1] in _CAPITALS and not (at > 2 and text[at - 3].isalnum()) and (end := _iban_end(text, at - 2)):
+                done["account"] = end
+                out.append((at - 2, end, "account"))
             if at >= done["ip"] and (m := _IP.match(text, at)):
                 done["ip"] = m.end()
                 if all(len(p := part.lstrip("0")) < 4 and int(p or 0) <= 255 for part in m.groups()):
@@ -98,15 +115,11 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 out.append((m.start(), m.end(), "login"))
         elif at >= done["account"] and not text[at + 1 : at + 2].isalpha() and not text[max(0, at - width) : at - width + 1].isalpha():
             if m := _AFTER_CUE.match(text, at + 1):
-                done["account"] = m.end(1)
-                out.append((m.start(1), m.end(1), "account"))
-            elif m := _IBAN.search(text, at + 1, at + 48):
-                code = m[0]
-                while len(code) >= 15 and not iban_valid(code):
-                    code = code[:-1]
-                if len(code) >= 15:
-                    done["account"] = m.start() + len(code)
-                    out.append((m.start(), done["account"], "account"))
+                done["account"] = max(m.end(1), _iban_end(text, m.start(1)))
+                out.append((m.start(1), done["account"], "account"))
+            elif (m := _IBAN.search(text, at + 1, at + 48)) and (end := _iban_end(text, m.start()) or _iban_end(text, m.start(), True)):
+                done["account"] = end
+                out.append((m.start(), end, "account"))
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

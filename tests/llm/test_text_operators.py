@@ -118,6 +118,21 @@ def test_further_spans():
     assert say("accountable 123456789 and Liban 123456789") == []
 
 
+def test_accounts_far_from_cues_without_cues_and_in_any_case():
+    say = lambda t: [t[a:b] for a, b, k in pii.spans(t) if k == "account"]
+    code = lambda country, rest: f"{country}{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}{rest}"
+    spaced = lambda c: " ".join(c[i : i + 4] for i in range(0, len(c), 4))
+    long = spaced(code("MT", "MALT01100" + "0012345MTLCAST001S456"))
+    assert len(long) == 42
+    assert say(f"account details for the transfer below: {long}, thanks") == [long]
+    assert say(f"pay to {long} THEN {spaced('GB29NWBK60161331926819')}. Not DE89 3704 0044 0532 0130 01") == [long, "GB29 NWBK 6016 1331 9268 19"]
+    assert say("iBaN: FR76 3000 6000 0112 3456 7890 189 and FR1420041010050500013M02606") == ["FR76 3000 6000 0112 3456 7890 189", "FR1420041010050500013M02606"]
+    assert say("IBAN FR14 2004 1010 0505 0001 3M02 606") == ["FR14 2004 1010 0505 0001 3M02 606"]
+    assert say("IBAN GB29NWBK60161331926819thanks") == ["GB29NWBK60161331926819"]
+    assert say("Social Security number 123-45-6789, Tax ID: 912345678, sOcIaL sEcUrItY 987-65-4321") == ["123-45-6789", "912345678", "987-65-4321"]
+    assert say("XDE89370400440532013000 and ſocial security 123456789") == []
+
+
 def test_personal_data_table(docs, texts, empty):
     rows = pii.find_personal_data(docs).collect()
     want = [(i, hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in brute_base(t or "")).encode()).hexdigest()) for i, t in texts]
