@@ -45,6 +45,30 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+class Scratch:
+    """Written tables that one job needs for a while. ``clear`` deletes them; all that read them must have been written by then, since a lost executor's work is done again from them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written as Parquet to the shared folder and read again."""
+        self.paths.append(path := work_path(self.spark, name))
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths.clear()
+
+
+def sent_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """``df``, a narrow table of ids, to be broadcast if it has at most ``most`` rows, which are counted; beyond that Spark joins it by a shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """The named columns alone, under new names; a missing one is an error, further ones of any name are left out."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

@@ -4,26 +4,29 @@ A document's set holds its distinct shingles of words as 64-bit hashes. ``collec
 makes one table key, so ``collections * (collections - 1) / 2`` keys over 2 * ``depth`` minima come from ``collections * depth`` minima: about the square
 root. Two sets of similarity s miss each other only if fewer than two small keys agree; at s = 0.8 and the defaults (16 of 3) that is 2 in 10,000.
 
-Documents with equal sets are one class and go on as their smallest id, so copies never meet in a table. In a bucket no pairs are listed: each member is compared
-with one pivot, in a first round the smallest id and in a second the member with most links, and links are joined to components between. What both rounds leave are
-buckets whose members still lie in different components: only pairs across those are listed, at most once, and only if sizes allow the similarity. Every candidate is
-verified on full sets, made again from whole texts. Tables are written to the shared folder between stages.
-
-Pairs across components come from blocks: a bucket's members are packed, ``BLOCK`` at a time, with a bitmap of their hashed shingles each; blocks meet blocks of their bucket, and only
-pairs whose bitmaps allow the similarity leave them. Common bits plus the smaller number of shingles that share a bit bound the intersection from above, so none is lost.
+Documents with equal sets are one class and go on as their smallest id, so copies never meet in a table. A small key that one class alone holds is in no shared pair: small keys
+are counted first, and pairs are formed of those that two classes hold at least, which leaves next to nothing of unique documents. In a bucket no pairs are listed. Each member is
+compared with a pivot, the smallest id among the members of about its size, and these pivots with each other: first each with the pivot it shares most buckets with, then with the
+others where both still lie in different components, then with the member of most links. What is left are buckets whose members still lie in different components: only pairs across
+those are listed, at most once, and only if sizes allow the similarity. Every candidate is verified on full sets, made again from whole texts; only texts with a candidate are moved.
+
+Pairs across components come from blocks: a bucket's members are packed, about ``BLOCK`` at a time, with a bitmap of their hashed shingles each; blocks meet blocks of their bucket, but not
+two of the bucket's largest component, and only pairs whose bitmaps allow the similarity leave them. Common bits plus the smaller number of shingles that share a bit bound the
+intersection from above, so none is lost. Tables are written to the shared folder between stages and deleted when their last reader has written.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix64, only, spread, written
+from .common import LOWER, Scratch, mix64, only, sent_if_small, spread
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Members in a block, and 64-bit words of a bitmap.
@@ -96,136 +99,118 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def _marks(docs: DataFrame, k: int, collections: int, depth: int) -> DataFrame:
-    """doc_id, n_shingles, a and b (a fingerprint of the set, null if it is empty), small keys and bitmap."""
+    """doc_id, n_shingles, a and b (a fingerprint of the set) and the small keys k0, k1, ...; all but the first two are null if the set is empty."""
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, a, b, keys, bits = [], [], [], [], []
-            for text in batch.column(1).cast(pa.binary()):
+            n = np.zeros(batch.num_rows, np.int64)
+            made = np.zeros((2 + collections, batch.num_rows), np.uint64)
+            for i, text in enumerate(batch.column(1).cast(pa.binary())):
                 s = shingle_set(text.as_py(), k)
-                n.append(len(s))
-                # sums of two scrambles don't depend on order
-                a.append(int(mix64(s).sum().astype(np.int64)) if len(s) else None)
-                b.append(int(mix64(s * _ODD + np.uint64(7)).sum().astype(np.int64)) if len(s) else None)
-                keys.append(small_keys(s, collections, depth).tobytes() if len(s) else None)
-                bits.append(bitmap(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "keys", "bits"])
+                n[i] = len(s)
+                if len(s):
+                    # sums of two scrambles don't depend on order
+                    made[0, i], made[1, i] = mix64(s).sum(), mix64(s * _ODD + np.uint64(7)).sum()
+                    made[2:, i] = small_keys(s, collections, depth)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(x.view(np.int64), mask=n == 0) for x in made]], names=["doc_id", "n_shingles", "a", "b", *_names(collections)])
         _words.clear()  # the worker goes on to other stages
 
-    return spread(docs).mapInArrow(mark, "doc_id long, n_shingles long, a long, b long, keys binary, bits binary")
+    return spread(docs).mapInArrow(mark, "doc_id long, n_shingles long, a long, b long, " + ", ".join(f"{c} long" for c in _names(collections)))
 
 
-def _table_key(left: np.ndarray, right: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Key of a pair of small keys, the one of the lower collection first; ``number``: of the pair of collections."""
-    return mix64(mix64(left + number) + right * _ODD).astype(np.int64)
+def _names(collections: int) -> list[str]:
+    return [f"k{i}" for i in range(collections)]
 
 
-def _table(classes: DataFrame, collections: int) -> DataFrame:
-    """A row (key, and what else describes the class) for each pair of small keys."""
-    pairs = list(combinations(range(collections), 2))
-    left, right = [p[0] for p in pairs], [p[1] for p in pairs]
+def _turned(key: Column) -> Column:
+    """The bits of a 64-bit key, turned by one: a pair of small keys is the exclusive or of the first and the second so turned."""
+    return F.shiftleft(key, 1).bitwiseOR(F.shiftrightunsigned(key, 63))
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                some = batch.slice(at, 1024)
-                x = np.frombuffer(b"".join(some.column(0).to_pylist()), np.uint64).reshape(-1, collections)
-                key = _table_key(x[:, left], x[:, right], np.arange(len(pairs), dtype=np.uint64))
-                rest = [c.take(pa.array(np.repeat(np.arange(some.num_rows), len(pairs)))) for c in some.columns[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *rest], names=["key", *some.schema.names[1:]])
 
-    return classes.select("keys", "id", "n", "comp", "degree").mapInArrow(keys, "key long, id long, n long, comp long, degree long")
+def _shared(classes: DataFrame, collections: int, work: Scratch) -> DataFrame:
+    """id, n, tag (tells classes of one id apart) and the small keys that another class holds too, null for the others, of classes with two at least."""
+    names = _names(collections)
+    rows = classes.select("id", "n", F.xxhash64("a", "b").bitwiseAND(0x7FFFFFFF).cast("int").alias("tag"), F.posexplode(F.array(*names)).alias("c", "h"))
+    often = work.written(rows.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h"), "small-keys")
+    held = rows.join(often, "h").groupBy("id", "n", "tag").agg(*[F.max(F.when(F.col("c") == i, F.col("h"))).alias(c) for i, c in enumerate(names)])
+    return held.where(sum(F.col(c).isNotNull().cast("int") for c in names) > 1)
 
 
-def _stars(table: DataFrame, percent: int) -> DataFrame:
-    """(a, b) distinct, a < b: each bucket's pivot with every member of another component whose size allows a link.
+def _table(members: DataFrame, collections: int, percent: int) -> DataFrame:
+    """key, band, id and n for each pair of small keys. Sizes that allow a link lie in one band or in two next to each other."""
+    turned = members.withColumns({f"t{i}": _turned(F.col(f"k{i}")) for i in range(collections)})
+    keys = F.array_compact(F.array(*[F.col(f"k{i}").bitwiseXOR(F.col(f"t{j}")) for i, j in combinations(range(collections), 2)]))
+    band = F.floor(F.log(F.col("n").cast("double")) / (log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
+    return turned.select(F.explode(keys).alias("key"), band.alias("band"), "id", "n")
 
-    Buckets come sorted (by links, then size) and are read as a stream; the pivot and the last member alone are remembered. A member whose size the pivot forbids is
-    compared with the one before it instead, so that one with any possible partner in its bucket is in some pair.
-    """
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pivot, before = None, (0, 0, 0), (0, 0, 0)
-        for batch in batches:
-            k, i, n, c = (batch.column(j).to_numpy() for j in range(4))
-            if not len(k):
-                continue
-            new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
-            run = np.cumsum(new) - 1  # -1 for rows that go on with the last batch's bucket
-            first = np.flatnonzero(new)
-            pi, pn, pc = (np.concatenate([[p], x[first]])[run + 1] for p, x in zip(pivot, (i, n, c), strict=True))
-            bi, bn, bc = (np.concatenate([[p], x[:-1]]) for p, x in zip(before, (i, n, c), strict=True))
-            alike = 100 * np.minimum(n, pn) >= percent * np.maximum(n, pn)
-            ok = (pc != c) & (pi != i) & alike
-            next_to = ~new & ~alike & (bc != c) & (bi != i) & (100 * np.minimum(n, bn) >= percent * np.maximum(n, bn))
-            key, pivot, before = k[-1], (pi[-1], pn[-1], pc[-1]), (i[-1], n[-1], c[-1])
-            pi, i = np.concatenate([pi[ok], bi[next_to]]), np.concatenate([i[ok], i[next_to]])
-            pairs = np.stack([np.minimum(pi, i), np.maximum(pi, i)], 1)
-            pairs = np.unique(pairs, axis=0) if len(pairs) else pairs
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["a", "b"])
-
-    ordered = table.repartition("key").sortWithinPartitions("key", F.desc("degree"), "n", "id")
-    return ordered.select("key", "id", "n", "comp").mapInArrow(scan, "a long, b long").distinct()
-
-
-def _across(table: DataFrame, percent: int, collections: int) -> DataFrame:
-    """(a, b) distinct, a < b: pairs of a bucket's members in different components whose sizes and bitmaps allow the similarity.
-
-    ``table``: key, id, n, comp, bits, keys. Packing reads sorted buckets as a stream and holds one block; a row of the join is a pair of blocks.
-    """
-    names, both = ["id", "n", "comp"], ["bits", "keys"]
-    number = np.zeros((collections, collections), np.uint64)
-    for i, (a, b) in enumerate(combinations(range(collections), 2)):
-        number[a, b] = number[b, a] = i
+def _stars(table: DataFrame, work: Scratch) -> DataFrame:
+    """(a, b, shared), a < b: each bucket's members of one band with the smallest id among them, and these pivots with that of the band below; shared: in how many buckets."""
+    pivots = work.written(table.groupBy("key", "band").agg(F.min("id").alias("p"), F.max("id").alias("q")), "pivots")
+    inside = table.join(pivots.where("p <> q").select("key", "band", "p"), ["key", "band"]).select(F.col("p").alias("a"), F.col("id").alias("b"))
+    below = pivots.select("key", (F.col("band") + 1).alias("band"), F.col("p").alias("lower"))
+    between = pivots.select("key", "band", "p").join(below, ["key", "band"]).select(F.least("p", "lower").alias("a"), F.greatest("p", "lower").alias("b"))
+    return inside.unionByName(between).where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, held = None, 0, []
 
-        def shut() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int32()), *[pa.array([np.array([h[j] for h in held], "<i8").tobytes()], pa.binary()) for j in range(3)], *[pa.array([b"".join(h[j] for h in held)], pa.binary()) for j in (3, 4)]], names=["key", "block", *names, "bits", "keys"])
+def _bits(texts: DataFrame, k: int) -> DataFrame:
+    """id, size (of its set) and bitmap."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k, *row in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
-                if held and (k != key or len(held) == BLOCK):
-                    yield shut()
-                    block, held = (block + 1 if k == key else 0), []
-                key = k
-                held.append(row)
-        if held:
-            yield shut()
+            sets = [shingle_set(t.as_py(), k) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary())], names=["id", "n", "bits"])
+
+    return texts.select("doc_id", "text").mapInArrow(make, "id long, n long, bits binary")
+
+
+def _across(open_: DataFrame, members: DataFrame, bits: DataFrame, percent: int, collections: int, work: Scratch) -> DataFrame:
+    """(a, b), a < b: pairs of a bucket's members in different components whose sizes and bitmaps allow the similarity.
+
+    ``open_``: key, id, n, comp. A bucket's largest component makes blocks of its own, which don't meet each other. A row of the join is a pair of blocks; a pair of members leaves the
+    bucket of its first two equal small keys, and no other.
+    """
+    most = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(F.max(F.struct("rows", "comp")).alias("m"), F.sum("rows").alias("rows"))
+    most = most.select("key", F.col("m.comp").alias("main"), F.col("m.rows").alias("large"), (F.col("rows") - F.col("m.rows")).alias("small"))
+    large = F.col("comp") == F.col("main")
+    number = lambda rows: F.pmod(F.xxhash64("id"), F.ceil(F.col(rows) / BLOCK)).cast("int")
+    dealt = open_.join(work.written(most, "main"), "key").select("key", "id", "n", "comp", large.alias("large"), F.when(large, number("large")).otherwise(number("small")).alias("block"))
+    described = members.join(bits, ["id", "n"]).select("id", "n", "bits", F.array(*[F.coalesce(c, F.lit(0)) for c in _names(collections)]).alias("keys"))
+    row = F.struct("id", "n", "comp", "bits", "keys")
+    blocks = work.written(dealt.join(described, ["id", "n"]).groupBy("key", "large", "block").agg(F.collect_list(row).alias("rows")), "blocks")
+
+    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+        x = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
+        keys = rows.field("keys").flatten().to_numpy().view(np.uint64).reshape(-1, collections)
+        n = rows.field("n").to_numpy()
+        return rows.field("id").to_numpy(), n, rows.field("comp").to_numpy(), x, keys, n - np.bitwise_count(x).sum(1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in zip(*(batch.column(j).to_pylist() for j in range(11)), strict=True):
-                (ia, na, ca), (ib, nb, cb) = ([np.frombuffer(x, "<i8") for x in row[j : j + 3]] for j in (0, 5))
-                xa, xb = (np.frombuffer(row[j], np.uint64).reshape(-1, WORDS) for j in (3, 8))
-                ka, kb = (np.frombuffer(row[j], np.uint64).reshape(-1, collections) for j in (4, 9))
-                ea, eb = na - np.bitwise_count(xa).sum(1), nb - np.bitwise_count(xb).sum(1)
-                found = []
+            for key, left, right in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1), batch.column(2), strict=True):
+                (ia, na, ca, xa, ka, ea), (ib, nb, cb, xb, kb, eb) = unpacked(left.values), unpacked(right.values)
+                found = [np.zeros((0, 2), np.int64)]
                 for i in range(len(ia)):
                     some = np.flatnonzero((ca[i] != cb) & (ia[i] != ib) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb)))
                     if len(some):
-                        most = np.bitwise_count(xa[i] & xb[some]).sum(1, dtype=np.int64) + np.minimum(ea[i], eb[some])
-                        some = some[100 * most >= percent * (na[i] + nb[some] - most)]
-                        # a pair leaves the bucket of its first two equal small keys, and no other
-                        same = kb[some] == ka[i]
+                        bound = np.bitwise_count(xa[i] & xb[some]).sum(1, dtype=np.int64) + np.minimum(ea[i], eb[some])
+                        some = some[100 * bound >= percent * (na[i] + nb[some] - bound)]
+                        same = (kb[some] == ka[i]) & (ka[i] != 0)
                         one = same.argmax(1)
                         same[np.arange(len(some)), one] = False
-                        two = same.argmax(1)
-                        some = some[_table_key(ka[i][one], ka[i][two], number[one, two]) == row[10]]
+                        second = kb[some, same.argmax(1)]
+                        some = some[(kb[some, one] ^ (second << np.uint64(1) | second >> np.uint64(63))) == key]
                         found.append(np.stack([np.minimum(ia[i], ib[some]), np.maximum(ia[i], ib[some])], 1))
-                pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy(), pa.int64()), pa.array(pairs[:, 1].copy(), pa.int64())], names=["a", "b"])
+                pairs = np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
-    packed = written(table.repartition("key").sortWithinPartitions("key", "n", "id").select("key", *names, *both).mapInArrow(pack, "key long, block int, id binary, n binary, comp binary, bits binary, keys binary"), "blocks")
-    x = packed.select("key", F.col("block").alias("ba"), *[F.col(c).alias(f"{c}a") for c in (*names, *both)])
-    y = packed.select("key", F.col("block").alias("bb"), *[F.col(c).alias(f"{c}b") for c in (*names, *both)])
-    met = x.join(y, "key").where("ba <= bb").select(*[f"{c}a" for c in (*names, *both)], *[f"{c}b" for c in (*names, *both)], "key")
-    return met.mapInArrow(compare, "a long, b long").distinct()
+    side = lambda x: blocks.select("key", F.col("large").alias(f"large_{x}"), F.col("block").alias(f"block_{x}"), F.col("rows").alias(f"rows_{x}"))
+    met = side("a").join(side("b"), "key").where("not (large_a and large_b) and (large_a and not large_b or large_a = large_b and block_a <= block_b)")
+    return met.select("key", "rows_a", "rows_b").mapInArrow(compare, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with ``linked``."""
+    """The pairs (a, b) with ``linked``. The text of b goes to that of a; where a is a pivot, its set is made once for all that follow each other."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
@@ -237,8 +222,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 mine = kept[2] if kept[1] == ta.as_py() else shingle_set(ta.as_py(), k)
                 linked.append(similar(mine, shingle_set(tb.as_py(), k), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+        _words.clear()
 
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    with_b = texts.join(sent_if_small(pairs.select("a", "b")), F.col("doc_id") == F.col("b")).select("a", "b", F.col("text").alias("tb"))
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, linked boolean")
 
@@ -247,16 +233,20 @@ def components(links: DataFrame) -> DataFrame:
     """(id, comp) of every id in ``links`` (a, b), with comp the smallest id that it reaches.
 
     Large stars and small stars in turn, each with one minimum for an id, until nothing moves; the number of rounds grows with the logarithm of the
-    longest path. A hub's neighbours are never gathered: minima are pre-aggregated and joined back.
+    longest path. A hub's neighbours are never gathered: minima are pre-aggregated and joined back. A round's table is deleted when the next one is written.
     """
-    edges, state = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None
+    edges, state, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        edges = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        work = Scratch(links.sparkSession)
+        edges = work.written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+        if before is not None:
+            before.clear()
+        before = work
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             break
@@ -265,55 +255,91 @@ def components(links: DataFrame) -> DataFrame:
     return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def _joined(members: DataFrame, links: DataFrame) -> DataFrame:
-    """``members`` with ``comp`` moved to where ``links`` lead. Links become edges between components first, so only components that really meet go through the rounds."""
-    of = lambda side: members.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))
-    met = links.join(of("a"), "a").join(of("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).where("a <> b").distinct()
-    moved = components(met).select(F.col("id").alias("comp"), F.col("comp").alias("to"))
-    return members.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).select(members.columns)
+def _component(df: DataFrame, comp: DataFrame | None, of: str, name: str) -> DataFrame:
+    """``df`` with the component of the id in column ``of``: the id itself where no link has been found."""
+    if comp is None:
+        return df.withColumn(name, F.col(of))
+    known = sent_if_small(comp.select(F.col("id").alias("_id"), F.col("comp").alias("_comp")))
+    return df.join(known, F.col(of) == F.col("_id"), "left").withColumn(name, F.coalesce("_comp", of)).drop("_id", "_comp")
+
+
+def _merged(comp: DataFrame | None, links: DataFrame, work: Scratch) -> DataFrame:
+    """(id, comp) after further links. Links become edges between components first, so only components that really meet go through the rounds."""
+    met = _component(_component(links, comp, "a", "u"), comp, "b", "v").where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
+    moved = components(met)
+    if comp is None:
+        return work.written(moved, "components")
+    old = comp.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+    new = moved.join(comp.select("id"), "id", "left_anti")  # ids that had no component yet are their own
+    return work.written(old.unionByName(new), "components")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, collections: int = 16, depth: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id that links lead to) and kept (doc_id = component_id) of each row.
 
     Rows are linked if 100 * intersection >= ``percent`` * union of their sets. Null and empty texts, and texts of white space alone, have an empty set and are linked with
-    nothing. A row without id takes no part: its component is null and it is kept. Repeated rows of one id are one document; where their texts differ, a link of either counts.
-    An empty table gives no rows; further columns are left out.
+    nothing. A row without id takes no part: its component is null and it is kept. Repeated rows of one id are one document: where their texts differ, a link of either counts, and
+    all have one component. An empty table gives no rows; further columns, of any name, are left out. ``collections`` and ``depth``: small keys and the minima of each.
     """
-    d = only(docs, doc_id=id_col, text=text_col)
-    marks = written(_marks(d, k, collections, depth), "marks")
+    d, spark = only(docs, doc_id=id_col, text=text_col), docs.sparkSession
+    stay, work = Scratch(spark), Scratch(spark)
+    names = _names(collections)
+    marks = stay.written(_marks(d, k, collections, depth), "marks")
     named = marks.where("doc_id is not null and a is not null")
-    classes = written(named.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "classes")
-    sets = named.join(classes.select("id", F.col("a").alias("ca"), F.col("b").alias("cb")), (F.col("doc_id") == F.col("id")) & (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")))
-    sets = sets.select("id", F.col("n_shingles").alias("n"), "keys", "bits", F.col("id").alias("comp"), F.lit(0).cast("long").alias("degree"))
-    tried = written(_stars(_table(sets, collections), percent), "pairs")
-    # all that have any possible partner in a bucket
-    table_ids = tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct()
-    texts = written(d.join(table_ids.withColumnRenamed("id", "of"), F.col("doc_id") == F.col("of"), "left_semi"), "texts")
-    known = written(_verified(tried, texts, k, percent), "verified")
-    links = known.where("linked").select("a", "b")
-    degree = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    members = sets.join(table_ids, "id", "left_semi").drop("comp", "degree").join(components(links), "id", "left").join(degree, "id", "left")
-    members = members.select("id", "n", F.coalesce("comp", "id").alias("comp"), F.coalesce("links", F.lit(0)).cast("long").alias("degree"), "keys", "bits")
-    table = _table(members, collections)
-    members = written(members.select("id", "n", "comp", "bits", "keys"), "members")
-    # buckets with one component need nothing more; two members have been compared already
-    mixed = table.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("key")
-    table = written(table.join(mixed, "key", "left_semi"), "mixed")
-    for turn in ("most links", "all that is left"):
-        if turn == "most links":
-            more = _stars(table, percent)
-        else:
-            now = table.select("key", "id").join(members, "id")
-            open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            more = _across(now.join(open_, "key", "left_semi"), percent, collections)
-        more = written(more.join(known.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
-        found = written(_verified(more, texts, k, percent), "verified")
+    classes = work.written(named.groupBy("a", "b").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), *[F.max(c).alias(c) for c in names]), "classes")
+    members = work.written(_shared(classes, collections, work), "members")
+    table = work.written(_table(members, collections, percent), "table")
+    stars = work.written(_stars(table, work), "stars")
+    ids = stars.select(F.col("a").alias("of")).unionByName(stars.select(F.col("b").alias("of"))).distinct()
+    texts = work.written(d.join(sent_if_small(work.written(ids, "ids")), F.col("doc_id") == F.col("of"), "left_semi"), "texts")
+
+    # rows of one id with different sets make their classes one
+    twice = named.groupBy("doc_id").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).where("lo <> hi").select("doc_id")
+    both = named.join(twice, "doc_id").select("doc_id", "a", "b").join(classes.select("a", "b", "id"), ["a", "b"]).select("doc_id", "id")
+    links = both.join(both.groupBy("doc_id").agg(F.min("id").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
+
+    best = stars.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    known = work.written(_verified(best, texts, k, percent), "verified")
+    comp = _merged(None, links.unionByName(known.where("linked").select("a", "b")), work)
+
+    def further(pairs: DataFrame) -> None:
+        """Verifies pairs that lie in different components and weren't verified before, and merges components."""
+        nonlocal known, comp
+        found = work.written(_verified(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts, k, percent), "verified")
         known = known.unionByName(found)
-        members = written(_joined(members, found.where("linked").select("a", "b")), "members")
-    comp = members.where("comp <> id").select("id", "comp")
-    answer = classes.join(comp, "id", "left").where("copies > 1 or comp is not null").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("comp", "id").alias("component"))
+        new = found.where("linked").select("a", "b")
+        if not new.isEmpty():
+            comp = _merged(comp, new, work)
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        return _component(_component(pairs, comp, "a", "_u"), comp, "b", "_v").where("_u <> _v").select("a", "b")
+
+    further(work.written(apart(stars), "apart"))
+    # a bucket with members in different components holds one that isn't in its pivot's
+    left = work.written(apart(stars).select(F.col("b").alias("of")).distinct(), "apart")
+    if not left.isEmpty():
+        keys = table.join(sent_if_small(left), F.col("id") == F.col("of"), "left_semi").select("key").distinct()
+        held = work.written(table.join(work.written(keys, "keys"), "key", "left_semi").select("key", "id", "n"), "held")
+
+        def still_open() -> DataFrame:
+            """Of two members both have been compared."""
+            now = _component(held, comp, "id", "comp")
+            open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("key")
+            return work.written(now.join(open_, "key", "left_semi"), "open")
+
+        now = still_open()
+        linked = known.where("linked")
+        degree = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+        hub = now.join(degree, "id").groupBy("key").agg(F.max(F.struct("links", -F.col("id"))).alias("m")).select("key", (-F.col("m.col2")).alias("hub"))
+        hubs = now.join(work.written(hub, "hubs"), "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        further(work.written(apart(hubs), "apart"))
+        now = still_open()
+        own = now.select(F.col("id").alias("of")).distinct()
+        bits = work.written(_bits(texts.join(own, F.col("doc_id") == F.col("of"), "left_semi"), k), "bits")
+        further(_across(now, members, bits, percent, collections, work))
+    moved = comp.where("comp <> id")
+    answer = classes.join(moved, "id", "left").where("copies > 1 or comp is not null").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("comp", "id").alias("component"))
+    answer = stay.written(answer, "answer")
+    work.clear()
     out = marks.join(answer, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
