@@ -16,15 +16,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def brute_lines(texts, least=40, most=5):
-    held = defaultdict(list)
+    held = defaultdict(set)
     key = lambda x: x.strip(BLANKS).translate(LOWER)
-    for i, t in texts:
-        for k in {key(x) for x in (t or "").split("\n")}:
-            held[k].append(i)
+    for row, (i, t) in enumerate(texts):
+        for x in (t or "").split("\n"):
+            held[key(x)].add((i, row if i is None else 0))
     out = []
     for i, t in texts:
         parts = (t or "").split("\n")
-        gone = lambda k: len(k) >= least and len(held[k]) >= most and i != max((h for h in held[k] if h is not None), default=None)
+        gone = lambda k: len(k) >= least and len(held[k]) >= most and i != max((h for h, _ in held[k] if h is not None), default=None)
         kept = [x for x in parts if not gone(key(x))]
         out.append((i, len(parts), len(parts) - len(kept), "\n".join(kept)))
     return out
@@ -42,6 +42,19 @@ def test_line_dedup(docs, texts):
     assert keyed((r.doc_id, r.text) for r in again.collect()) == keyed((r[0], r[3]) for r in got)
 
 
+def test_line_dedup_counts_documents_not_rows(spark):
+    """Rows of one id, with equal and with other texts, are one document; rows without id are one each; a line in very many documents."""
+    line = [f"line {c} of at least forty characters, so it counts" for c in "abcdefg"]
+    rows = [(7, line[0])] * 4 + [(9, line[0])]  # two documents
+    rows += [(7, f"x\n{line[1]}"), (7, f"{line[1]}\ny")] + [(i, line[1]) for i in range(20, 24)]  # five
+    rows += [(None, line[2])] * 3 + [(None, f"{line[2]}\nz"), (30, line[2])] + [(None, line[3])] * 6 + [(40, line[4])] * 9
+    rows += [(100 + i, f"{i}\n{line[5]}\n{line[6] if i % 100 == 0 else i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = keyed(brute_lines(rows))
+    assert keyed(tuple(r) for r in lines.drop_repeated_lines(df).collect()) == want
+    assert keyed(tuple(r) for r in lines.drop_repeated_lines(df, buckets=1).collect()) == want
+
+
 def test_line_keys_fold_ascii_only(spark):
     some = ["Ä" * 40, "ä" * 40, "Σ" * 40, "σ" * 40, "ПРИВЕТ" * 8, "привет" * 8, "A" * 40, "a" * 40, "é" * 39, "Ãb" * 20, "ãB" * 20]
     keys = [r[0] for r in spark.createDataFrame([(x,) for x in some], "x string").select(lines.line_key(F.col("x"))).collect()]
