@@ -5,8 +5,9 @@ subspaces of two dimensions with 16 codes each; a code is chosen to make small t
 since that part moves high inner products. Tables of 16 numbers for each query and subspace are added up over the four-bit codes. The best of a chunk by these sums get exact distances
 first; then so does every other row that, by the stored length of its quantisation error, can be as near as the last of them: within the cells probed nothing is lost.
 
-Centres and codes are fitted on the ``sample_rows`` vectors with the smallest id hashes; every row is indexed. Rows are packed by cell into chunks of bounded size where they
-are read, queries into packs for the cells they probe, and chunks meet packs by cell: no row meets a query outside a block of both.
+Centres are fitted on the ``sample_rows`` vectors with the smallest id hashes, codes on the first 4,096 of them; every row is indexed. Rows are packed by cell into chunks of bounded
+size where they are read, queries into packs for the cells they probe, and chunks meet packs by cell and share: a cell of many rows is dealt into shares of about 16,384 rows, so no
+task gets a whole large cell, and no row meets a query outside a block of both. Where all cells are probed the answer is exact.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import only, spread
+from .common import mix64, only, spread
 
 
 @dataclass(frozen=True)
@@ -78,8 +79,9 @@ def _k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
 
 def fit_index(sample: np.ndarray, n_cells: int, eta: float = 4.0, rounds: int = 4) -> Index:
     rng = np.random.default_rng(5)
-    x = sample.astype(np.float64)
-    cells = _k_means(x, n_cells, rng)
+    every = sample.astype(np.float64)
+    cells = _k_means(every, n_cells, rng)
+    x = every[:4096]  # a code is a point in the plane: few rows tell it
     long = extended(x)
     residual = long - extended(cells)[nearest_cells(x, cells)[:, 0]]
     u = _direction(long)
@@ -97,7 +99,7 @@ def fit_index(sample: np.ndarray, n_cells: int, eta: float = 4.0, rounds: int =
             for c in range(16):
                 if (mine := codes[:, s] == c).any():
                     books[s, c] = np.linalg.solve(weight[mine].sum(0), goal[mine].sum(0))
-    return Index(cells.astype(np.float32), books.astype(np.float32), eta, enough_probes(x, cells))
+    return Index(cells, books, eta, enough_probes(every, cells))
 
 
 def enough_probes(x: np.ndarray, cells: np.ndarray, share: float = 0.98, asked: int = 256, k: int = 10) -> int:
@@ -173,21 +175,29 @@ def nearest_of_chunk(index: Index, cell: int, qids: np.ndarray, q: np.ndarray, i
 
 
 def _usable(v: Column) -> Column:
-    sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e70)
     return v.isNotNull() & F.coalesce(F.forall(v, sound), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(-1, dim)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, rows_per_cell: int = 5_000, most_cells: int = 512, rerank: int = 128, chunk: int = 2048, probe: int | None = None) -> DataFrame:
+def _shares(count: int, rows: int = 16_384) -> int:
+    return max(1, -(-count // rows))
+
+
+def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", sample_rows: int = 20_000, rows_per_cell: int = 5_000, rerank: int = 128, chunk: int = 2048, probe: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (Euclidean distance in double precision) of each query's ``k`` nearest found, ties to the smaller id.
 
     A query meets every row but those of its own id; with fewer than ``k`` it has that many rows. Vectors that are null, zero, of another number of dimensions than most, or that hold
-    null or non-finite components take no part, nor do rows without id. Repeated rows of one id count as its nearest. ``probe``: cells a query looks into, unless given as many as the
-    sample shows to hold 98 of 100 neighbours; a query goes on to further cells until those it looks into hold ``k`` other ids. ``rerank``: rows of a chunk that get exact distances
-    first, before those that can still be as near. Empty tables, on either side, give no rows.
+    null or non-finite components, or ones of 1e70 or more (fourth powers must be finite; any float is), take no part, nor do rows without id. Repeated rows of one id count as its nearest, and only distinct ids are counted where copies of one vector are
+    cut to the smallest ids. Vectors of float keep that type, all others are measured as double. Empty tables, on either side, give no rows.
+
+    ``rows_per_cell``: there is a cell for each so many rows, as far as ``sample_rows`` allows 32 sampled vectors for each; with a larger table raise both the sample and the driver's memory,
+    or a query's work grows with the table. ``probe``: cells a query looks into, unless given as many as the sample shows to hold 98 of 100 neighbours; a query goes on to further cells
+    until those it looks into hold ``k`` other ids. A number not below that of cells makes the search exact. ``rerank``: rows of a chunk that get exact distances first; every other one
+    that can still be as near gets its own after them, so the answer doesn't depend on it. ``chunk``: rows in a block, which bounds a task's memory.
     """
     spark = vectors.sparkSession
     names = {"vec_id": id_col, "v": vector_col}
@@ -197,9 +207,11 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, total = sizes["dim"], sizes["n"]
-    rows, asked = (t.where(F.size("v") == dim).select("vec_id", F.col("v").cast("array<float>").alias("v")) for t in (rows, asked))
+    kind = "array<float>" if dict(rows.dtypes)["v"] == "array<float>" else "array<double>"
+    raw = "<f4" if kind == "array<float>" else "<f8"
+    rows, asked = (t.where(F.size("v") == dim).select("vec_id", F.col("v").cast(kind).alias("v")) for t in (rows, asked))
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("v").toArrow()["v"].combine_chunks()
-    n_cells = max(1, min(most_cells, total // rows_per_cell, sample_rows // 32))
+    n_cells = max(1, min(total // rows_per_cell, sample_rows // 32))
     fitted = fit_index(_matrix(sample, dim), n_cells)
     shared = spark.sparkContext.broadcast(fitted)  # centres and codes, whatever the data
     probes = min(n_cells, probe or fitted.probes)
@@ -212,7 +224,9 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
                 some = batch.slice(at, 4096)
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array(nearest_cells(_matrix(some.column(1), dim).astype(np.float64), centres)[:, 0], pa.int32())], names=["vec_id", "cell"])
 
-    if probes < n_cells:
+    if n_cells == 1:
+        held_ids[0] = total
+    else:
         for r in spread(rows).mapInArrow(cells_of, "vec_id long, cell int").groupBy("vec_id").agg(F.min("cell").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect():
             held_ids[r["cell"]] = r["n"]
 
@@ -234,7 +248,8 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
                 own = order[cell[order] == c]
                 for at in range(0, len(own), chunk):
                     some = own[at : at + chunk]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([x[some].astype("<f4").tobytes()]), pa.array([codes[some].tobytes()]), pa.array([left_out[some].astype("<f8").tobytes()])], names=["cell", "ids", "x", "codes", "left_out"])
+                    share = int(mix64(ids[some[:1]].view(np.uint64))[0] % np.uint64(_shares(held_ids[c])))
+                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([share], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([x[some].astype(raw).tobytes()]), pa.array([codes[some].tobytes()]), pa.array([left_out[some].astype("<f8").tobytes()])], names=["cell", "share", "ids", "x", "codes", "left_out"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
@@ -259,20 +274,21 @@ def nearest_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, id_c
                 own = np.flatnonzero(((near == c) & into).any(1))
                 for at in range(0, len(own), 256):
                     some = own[at : at + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([x[some].astype("<f4").tobytes()])], names=["cell", "qids", "q"])
+                    for share in range(_shares(held_ids[c])):
+                        yield pa.RecordBatch.from_arrays([pa.array([c], pa.int32()), pa.array([share], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([x[some].astype(raw).tobytes()])], names=["cell", "share", "qids", "q"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
             for cell, ids, x, codes, left_out, qids, q in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
                 ids, qids = np.frombuffer(ids, "<i8"), np.frombuffer(qids, "<i8")
-                x, q = np.frombuffer(x, "<f4").reshape(-1, dim).astype(np.float64), np.frombuffer(q, "<f4").reshape(-1, dim).astype(np.float64)
+                x, q = np.frombuffer(x, raw).reshape(-1, dim).astype(np.float64), np.frombuffer(q, raw).reshape(-1, dim).astype(np.float64)
                 found = nearest_of_chunk(index, cell, qids, q, ids, x, np.frombuffer(codes, np.uint8).reshape(len(ids), -1), np.frombuffer(left_out, "<f8").reshape(-1, 2), k, rerank)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "vec_id", "score"])
 
-    left = spread(rows).mapInArrow(chunks, "cell int, ids binary, x binary, codes binary, left_out binary")
-    right = asked.mapInArrow(packs, "cell int, qids binary, q binary")
-    met = left.join(right, "cell").select("cell", "ids", "x", "codes", "left_out", "qids", "q").mapInArrow(scan, kinds)
+    left = spread(rows).mapInArrow(chunks, "cell int, share int, ids binary, x binary, codes binary, left_out binary")
+    right = asked.mapInArrow(packs, "cell int, share int, qids binary, q binary")
+    met = left.join(right, ["cell", "share"]).select("cell", "ids", "x", "codes", "left_out", "qids", "q").mapInArrow(scan, kinds)
     once = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
