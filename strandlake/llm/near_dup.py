@@ -7,7 +7,7 @@ root. Two sets of similarity s miss each other only if fewer than two small keys
 Documents with equal sets are one class and go on as their smallest id, so copies never meet in a table. A small key that one class alone holds is in no shared pair: small keys
 are counted first, and pairs are formed of those that two classes hold at least, which leaves next to nothing of unique documents. In a bucket no pairs are listed. Each member is
 compared with a pivot, the smallest id among the members of about its size, and these pivots with each other: first each with the pivot it shares most buckets with, then with the
-others where both still lie in different components, then with the member of most links. What is left are buckets whose members still lie in different components: only pairs across
+others where both still lie in different components. What is left are buckets whose members still lie in different components: only pairs across
 those are listed, at most once, and only if sizes allow the similarity. Every candidate is verified on full sets, made again from whole texts; only texts with a candidate are moved.
 
 Pairs across components come from blocks: a bucket's members are packed, about ``BLOCK`` at a time, with a bitmap of their hashed shingles each; blocks meet blocks of their bucket, but not
@@ -179,28 +179,34 @@ def _across(open_: DataFrame, members: DataFrame, bits: DataFrame, percent: int,
     row = F.struct("id", "n", "comp", "bits", "keys")
     blocks = work.written(dealt.join(described, ["id", "n"]).groupBy("key", "large", "block").agg(F.collect_list(row).alias("rows")), "blocks")
 
-    def unpacked(rows: pa.StructArray) -> tuple[np.ndarray, ...]:
+    def unpacked(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Where each row's members start, and all members' ids, sizes, components, bitmaps, keys and numbers of shingles that share a bit."""
+        rows, start = lists.flatten(), np.asarray(lists.offsets)
+        ids, n, comp = (rows.field(c).to_numpy() for c in ("id", "n", "comp"))
         x = np.frombuffer(b"".join(rows.field("bits").to_pylist()), np.uint64).reshape(-1, WORDS)
         keys = rows.field("keys").flatten().to_numpy().view(np.uint64).reshape(-1, collections)
-        n = rows.field("n").to_numpy()
-        return rows.field("id").to_numpy(), n, rows.field("comp").to_numpy(), x, keys, n - np.bitwise_count(x).sum(1)
+        return start - start[0], [ids, n, comp, x, keys, n - np.bitwise_count(x).sum(1)]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, left, right in zip(batch.column(0).to_numpy().view(np.uint64), batch.column(1), batch.column(2), strict=True):
-                (ia, na, ca, xa, ka, ea), (ib, nb, cb, xb, kb, eb) = unpacked(left.values), unpacked(right.values)
+            for at in range(0, batch.num_rows, 256):
+                some_rows = batch.slice(at, 256)
+                (sa, left), (sb, right) = unpacked(some_rows.column(1)), unpacked(some_rows.column(2))
                 found = [np.zeros((0, 2), np.int64)]
-                for i in range(len(ia)):
-                    some = np.flatnonzero((ca[i] != cb) & (ia[i] != ib) & (100 * np.minimum(na[i], nb) >= percent * np.maximum(na[i], nb)))
-                    if len(some):
-                        bound = np.bitwise_count(xa[i] & xb[some]).sum(1, dtype=np.int64) + np.minimum(ea[i], eb[some])
-                        some = some[100 * bound >= percent * (na[i] + nb[some] - bound)]
-                        same = (kb[some] == ka[i]) & (ka[i] != 0)
-                        one = same.argmax(1)
-                        same[np.arange(len(some)), one] = False
-                        second = kb[some, same.argmax(1)]
-                        some = some[(kb[some, one] ^ (second << np.uint64(1) | second >> np.uint64(63))) == key]
-                        found.append(np.stack([np.minimum(ia[i], ib[some]), np.maximum(ia[i], ib[some])], 1))
+                for j, key in enumerate(some_rows.column(0).to_numpy().view(np.uint64)):
+                    ib, nb, cb, xb, kb, eb = (c[sb[j] : sb[j + 1]] for c in right)
+                    for ia, na, ca, xa, ka, ea in zip(*(c[sa[j] : sa[j + 1]] for c in left), strict=True):
+                        some = np.flatnonzero((ca != cb) & (ia != ib) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)))
+                        if len(some):
+                            bound = np.bitwise_count(xa & xb[some]).sum(1, dtype=np.int64) + np.minimum(ea, eb[some])
+                            some = some[100 * bound >= percent * (na + nb[some] - bound)]
+                        if len(some):
+                            same = (kb[some] == ka) & (ka != 0)
+                            one = same.argmax(1)
+                            same[np.arange(len(some)), one] = False
+                            second = kb[some, same.argmax(1)]
+                            some = some[(kb[some, one] ^ (second << np.uint64(1) | second >> np.uint64(63))) == key]
+                            found.append(np.stack([np.minimum(ia, ib[some]), np.maximum(ia, ib[some])], 1))
                 pairs = np.concatenate(found)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
@@ -229,30 +235,30 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, work: Scratch | None = None) -> DataFrame:
     """(id, comp) of every id in ``links`` (a, b), with comp the smallest id that it reaches.
 
-    Large stars and small stars in turn, each with one minimum for an id, until nothing moves; the number of rounds grows with the logarithm of the
-    longest path. A hub's neighbours are never gathered: minima are pre-aggregated and joined back. A round's table is deleted when the next one is written.
+    Every id takes the smallest of itself and its neighbours, chains of these are shortened by half at a time until each ends at an id that took itself, and the links that still
+    lead from one such id to another make the next, smaller graph. The number of rounds grows with the logarithm of the longest path. A hub's neighbours are never gathered: minima are
+    pre-aggregated. Tables go to ``work``, which the caller clears.
     """
-    edges, state, before = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), None, None
+    work = work or Scratch(links.sparkSession)
+    edges = work.written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    labels = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v")
-        work = Scratch(links.sparkSession)
-        edges = work.written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-        if before is not None:
-            before.clear()
-        before = work
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            break
-        state = now
-    ids = edges.select(F.col("u").alias("id"), F.col("v").alias("comp"))
-    return ids.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
+        to = work.written(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), "labels")
+        while True:
+            to = work.written(to.join(to.select(F.col("u").alias("p"), F.col("p").alias("further")), "p").select("u", F.col("further").alias("p"), (F.col("further") != F.col("p")).alias("moved")), "labels")
+            if to.where("moved").isEmpty():
+                break
+            to = to.select("u", "p")
+        next_ = to.select(F.col("u").alias("p"), F.col("p").alias("root"))
+        labels = to.select("u", "p") if labels is None else work.written(labels.join(next_, "p", "left").select("u", F.coalesce("root", "p").alias("p")), "labels")
+        ends = edges.join(to.select("u", F.col("p").alias("pu")), "u").join(to.select(F.col("u").alias("v"), F.col("p").alias("pv")), "v")
+        edges = work.written(ends.where("pu <> pv").select(F.greatest("pu", "pv").alias("u"), F.least("pu", "pv").alias("v")).distinct(), "edges")
+        if edges.isEmpty():
+            return labels.select(F.col("u").alias("id"), F.col("p").alias("comp"))
 
 
 def _component(df: DataFrame, comp: DataFrame | None, of: str, name: str) -> DataFrame:
@@ -266,9 +272,9 @@ def _component(df: DataFrame, comp: DataFrame | None, of: str, name: str) -> Dat
 def _merged(comp: DataFrame | None, links: DataFrame, work: Scratch) -> DataFrame:
     """(id, comp) after further links. Links become edges between components first, so only components that really meet go through the rounds."""
     met = _component(_component(links, comp, "a", "u"), comp, "b", "v").where("u <> v").select(F.col("u").alias("a"), F.col("v").alias("b"))
-    moved = components(met)
+    moved = components(met, work)
     if comp is None:
-        return work.written(moved, "components")
+        return moved
     old = comp.join(moved.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
     new = moved.join(comp.select("id"), "id", "left_anti")  # ids that had no component yet are their own
     return work.written(old.unionByName(new), "components")
@@ -298,14 +304,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     both = named.join(twice, "doc_id").select("doc_id", "a", "b").join(classes.select("a", "b", "id"), ["a", "b"]).select("doc_id", "id")
     links = both.join(both.groupBy("doc_id").agg(F.min("id").alias("least")), "doc_id").select(F.col("least").alias("a"), F.col("id").alias("b"))
 
-    best = stars.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b")
+    best = work.written(stars.groupBy("b").agg(F.max(F.struct("shared", -F.col("a"))).alias("m")).select((-F.col("m.col2")).alias("a"), "b"), "best")
     known = work.written(_verified(best, texts, k, percent), "verified")
     comp = _merged(None, links.unionByName(known.where("linked").select("a", "b")), work)
 
     def further(pairs: DataFrame) -> None:
         """Verifies pairs that lie in different components and weren't verified before, and merges components."""
         nonlocal known, comp
-        found = work.written(_verified(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts, k, percent), "verified")
+        fresh = work.written(pairs.join(known.select("a", "b"), ["a", "b"], "left_anti"), "candidates")
+        found = work.written(_verified(fresh, texts, k, percent), "verified")
         known = known.unionByName(found)
         new = found.where("linked").select("a", "b")
         if not new.isEmpty():
@@ -314,26 +321,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def apart(pairs: DataFrame) -> DataFrame:
         return _component(_component(pairs, comp, "a", "_u"), comp, "b", "_v").where("_u <> _v").select("a", "b")
 
-    further(work.written(apart(stars), "apart"))
+    further(apart(stars))
     # a bucket with members in different components holds one that isn't in its pivot's
     left = work.written(apart(stars).select(F.col("b").alias("of")).distinct(), "apart")
     if not left.isEmpty():
         keys = table.join(sent_if_small(left), F.col("id") == F.col("of"), "left_semi").select("key").distinct()
         held = work.written(table.join(work.written(keys, "keys"), "key", "left_semi").select("key", "id", "n"), "held")
 
-        def still_open() -> DataFrame:
-            """Of two members both have been compared."""
-            now = _component(held, comp, "id", "comp")
-            open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("key")
-            return work.written(now.join(open_, "key", "left_semi"), "open")
-
-        now = still_open()
-        linked = known.where("linked")
-        degree = linked.select(F.col("a").alias("id")).unionByName(linked.select(F.col("b").alias("id"))).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-        hub = now.join(degree, "id").groupBy("key").agg(F.max(F.struct("links", -F.col("id"))).alias("m")).select("key", (-F.col("m.col2")).alias("hub"))
-        hubs = now.join(work.written(hub, "hubs"), "key").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
-        further(work.written(apart(hubs), "apart"))
-        now = still_open()
+        now = _component(held, comp, "id", "comp")
+        # of two members both have been compared
+        open_ = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("rows")).where("lo <> hi and rows > 2").select("key")
+        now = work.written(now.join(open_, "key", "left_semi"), "open")
         own = now.select(F.col("id").alias("of")).distinct()
         bits = work.written(_bits(texts.join(own, F.col("doc_id") == F.col("of"), "left_semi"), k), "bits")
         further(_across(now, members, bits, percent, collections, work))

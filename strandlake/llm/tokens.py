@@ -170,4 +170,10 @@ def encoder(path: str, most: int = 1_000_000) -> Encoder:
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = Encoder(path, most)
+    _encoders[path].most = most
     return _encoders[path]
+
+
+def forget(path: str) -> None:
+    """Drops this process's encoder of a vocabulary file with its words: the worker goes on to stages that need the memory."""
+    _encoders.pop(path, None)

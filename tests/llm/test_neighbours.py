@@ -170,3 +170,36 @@ def test_further_cells_until_enough_are_found(spark):
     few = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
     got = ann.nearest_neighbours(few, few.where("vec_id = 3").limit(1)).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 4, 5, 6, 7, 8, 9, 10, 11]
+
+
+def test_copies_are_cut_by_distinct_ids(spark):
+    """Twelve rows of one id and ten further ids with the same vector, in one task and in four."""
+    df = spark.createDataFrame([(1, [1.0, 2.0])] * 12 + [(i, [1.0, 2.0]) for i in range(2, 12)] + [(50 + i, [3.0, float(i)]) for i in range(9)], "vec_id long, embedding array<float>")
+    for parts in (1, 4):
+        got = ann.nearest_neighbours(df.repartition(parts), df.where("vec_id = 5").limit(1)).orderBy("rank").collect()
+        assert [(r.vec_id, r.score) for r in got] == [(i, 0.0) for i in (1, 2, 3, 4, 6, 7, 8, 9, 10, 11)]
+
+
+def test_doubles_stay_doubles(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1.0 + 1e-9, 1.0]), (2, [1.0 + 2e-9, 1.0]), (3, [1e60, 1.0]), (4, [1e200, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest_neighbours(df, df.where("vec_id = 0")).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3] and all(abs(r.score - np.sqrt(sum((x - 1) ** 2 for x in dict(rows)[r.vec_id]))) <= 1e-15 * r.score for r in got)
+
+
+def test_all_cells_probed_is_exact_and_large_tables_keep_recall(spark):
+    rng = np.random.default_rng(6)
+    x = (rng.normal(size=(50, 16))[rng.integers(50, size=50_000)] * 2 + rng.normal(size=(50_000, 16))).astype(np.float32)
+    import pandas as pd
+
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": [v.tolist() for v in x]}), "vec_id long, embedding array<float>").repartition(8)
+    asked = np.arange(0, len(x), 500)
+    want = {}
+    for i in asked:
+        d = np.sqrt(((x[i].astype(np.float64) - x.astype(np.float64)) ** 2).sum(1))
+        d[i] = np.inf
+        best = np.lexsort((np.arange(len(x)), d))[:10]
+        want[int(i)] = [(float(d[j]), int(j)) for j in best]
+    queries = df.where("vec_id % 500 = 0")
+    assert _recall(ann.nearest_neighbours(df, queries).collect(), want) >= 0.9
+    assert _recall(ann.nearest_neighbours(df, queries, rows_per_cell=500, probe=10**6).collect(), want) == 1

@@ -20,10 +20,14 @@ def test_stages_keep_columns_and_clean_documents(spark):
 
 def test_stages_on_odd_rows(spark, docs, texts):
     d = "/root/testdata/sf0.001"
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, rows, d).count() > 0
-        assert stage(spark, rows.limit(0), d).count() == 0
+    rows = docs.selectExpr("*", "1 as gone", "2 as to", "3 as lo", "4 as _may", "5 as comp", "6 as id", "7 as spans", "8 as items", "9 as of", "10 as rejected")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, rows, d)
+        assert out.count() > 0
+        if name != "pack":
+            assert out.columns == rows.columns, name
+            assert out.where("gone = 1 and `odd.name` = 'z' and rejected = 10").count() == out.count(), name
+        assert stage(spark, rows.limit(0), d).count() == 0, name
 
 
 def test_nothing_else_imports_the_subpackage():
