@@ -70,7 +70,7 @@ class LanguageModel:
         """The likeliest language of rows of counts, its probability, and whether it is refused."""
         p = self.scores(counts)
         best, top = p.argmax(1), p.max(1)
-        return best, top, (top < self.threshold) | (_strange(counts, self.rarity, self.usual, best) > self.limit)
+        return best, top, (top < self.threshold) | (_strange(_means(counts), counts.sum(1), self.rarity, self.usual, best) > self.limit)
 
 
 #: So many subwords, about four words, make a text's mean rarity as uncertain as it differs between long texts of a language.
@@ -81,10 +81,10 @@ def _means(counts: np.ndarray) -> np.ndarray:
     return (counts / np.maximum(counts.sum(1, keepdims=True), 1)).astype(np.float32)
 
 
-def _strange(counts: np.ndarray, rarity: np.ndarray, usual: np.ndarray, lang: np.ndarray) -> np.ndarray:
+def _strange(means: np.ndarray, total: np.ndarray, rarity: np.ndarray, usual: np.ndarray, lang: np.ndarray) -> np.ndarray:
     """How much rarer than usual in a language the subwords of rows are; less of it counts in short texts."""
-    over = (_means(counts) @ rarity)[np.arange(len(counts)), lang] - usual[lang]
-    return over / np.sqrt(1 + _FEW / np.maximum(counts.sum(1), 1))
+    over = (means @ rarity)[np.arange(len(means)), lang] - usual[lang]
+    return over / np.sqrt(1 + _FEW / np.maximum(total, 1))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -93,7 +93,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30, rate: float = 8.0, batch: int = 32, alpha: float = 0.0025, margin: float = 1.25, seed: int = 7) -> LanguageModel:
-    """Trains on rows of counts. Without rows the model knows no language and rejects all; with one language it always answers that.
+    """Trains on rows of counts, which it overwrites if they are of float32. Without rows the model knows no language and rejects all; with one language it always answers that.
 
     Rejection follows from correctly answered held-out rows alone, so misjudged or mislabelled ones don't loosen it. The threshold is passed by all but a share ``alpha`` of them, or the
     smallest share that so many rows show; it lies above the probability that every text reaches. The limit is ``margin`` times the strangeness that such a share exceeds, and at most
@@ -107,7 +107,9 @@ def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
     bias = np.zeros(len(languages), np.float32)
     if not len(counts) or not languages:
         return LanguageModel(languages, embed, layer, bias, 1.0, 1.0, np.zeros((buckets, len(languages)), np.float32), np.zeros(len(languages)), 0.0)
-    x = _means(counts)
+    total = counts.sum(1)
+    x = counts if counts.dtype == np.float32 else counts.astype(np.float32)
+    x /= np.maximum(total, 1)[:, None]
     y = np.searchsorted(languages, labels)
     order = rng.permutation(len(x))
     hold = order[: max(1, len(x) // 5)] if len(x) >= 20 else order
@@ -130,7 +132,11 @@ def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
     heat = min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(z / t)[at, y[hold]] + 1e-12).mean())
     p = _softmax(z / heat)
     # each text counts alike, and one more text holds all subwords alike
-    share = np.stack([(x[train][y[train] == k].sum(0) + 1 / buckets) / ((y[train] == k).sum() + 1) for k in range(len(languages))], 1)
+    share = np.full((buckets, len(languages)), 1 / buckets)
+    for at_ in range(0, len(train), 256):
+        some = train[at_ : at_ + 256]
+        share += x[some].T @ np.eye(len(languages), dtype=np.float32)[y[some]]
+    share /= np.bincount(y[train], minlength=len(languages)) + 1
     rarity = -np.log(share).astype(np.float32)
     own = (x @ rarity)[np.arange(len(x)), y]
     right = p.argmax(1) == y[hold]
@@ -141,7 +147,7 @@ def fit(counts: np.ndarray, labels: list[str], dim: int = 16, epochs: int = 30,
     alpha = max(alpha, 1 / len(known))
     limit = 0.5 * float((rarity.mean(0) - usual).min())
     if len(known) >= 100:
-        limit = min(limit, margin * max(0.0, float(np.quantile(_strange(counts[known], rarity, usual, y[known]), 1 - alpha))))
+        limit = min(limit, margin * max(0.0, float(np.quantile(_strange(x[known], total[known], rarity, usual, y[known]), 1 - alpha))))
     # rejected if less likely than all but very few answers, and not if likelier than not, but in any case near the probability that all texts reach
     least = 0.0 if len(languages) == 1 else 1.2 / len(languages)
     threshold = max(min(float(np.quantile(p.max(1)[right], alpha)), 0.5), least)
@@ -169,9 +175,11 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
     found = d.where(key <= least).dropDuplicates(["text", "lang"]).mapInArrow(count, "lang string, at binary, n binary").toArrow()
     found = found.sort_by([("lang", "ascending"), ("at", "ascending"), ("n", "ascending")])
     counts = np.zeros((found.num_rows, buckets), np.float32)
-    for i, (at, n) in enumerate(zip(found["at"].to_pylist(), found["n"].to_pylist(), strict=True)):
-        counts[i, np.frombuffer(at, "<i4")] = np.frombuffer(n, "<i4")
-    return fit(counts, found["lang"].to_pylist())
+    for i, (at, n) in enumerate(zip(found["at"], found["n"], strict=True)):
+        counts[i, np.frombuffer(at.as_buffer(), "<i4")] = np.frombuffer(n.as_buffer(), "<i4")
+    labels = found["lang"].to_pylist()
+    del found, at, n  # the driver holds one copy
+    return fit(counts, labels)
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,7 +44,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = encoder(tokenizer_path, remembered)
-        for batch in batches:
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 columns: list[list] = [[] for _ in fields]
