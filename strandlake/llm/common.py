@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder and context.getCheckpointDir().isDefined():
         folder = context.getCheckpointDir().get()
     if not folder:  # a local session, as in tests
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="strandlake-")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)

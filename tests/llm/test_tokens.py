@@ -62,6 +62,14 @@ def test_packing(docs, texts):
     assert sorted(got) == want
 
 
+def test_packing_buckets(spark, docs, tmp_path):
+    """A folder for each length, with sequences of that length alone."""
+    packed = packing.pack(docs, public_tokenizers.path(FILES[0]), context=256, keep_words=False)
+    packing.write_buckets(packed, f"file://{tmp_path}/out")
+    read = spark.read.parquet(f"file://{tmp_path}/out")
+    assert read.count() == packed.count() and read.where("size(tokens) <> shiftleft(1, bucket) or length <> size(tokens)").count() == 0
+
+
 def test_packing_of_nothing(empty):
     assert packing.pack(empty, public_tokenizers.path(FILES[0])).count() == 0
     with pytest.raises(ValueError):
