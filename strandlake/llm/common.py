@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -47,6 +48,12 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Frees what plans that are done hold on the driver: Python's handles first, then the JVM's objects. Spark deletes broadcasts and shuffle files when their owners are collected."""
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 class Scratch:
     """Written tables that one job needs for a while. ``clear`` deletes them; all that read them must have been written by then, since a lost executor's work is done again from them."""
 
@@ -64,6 +71,7 @@ class Scratch:
         for path in self.paths:
             remove(self.spark, path)
         self.paths.clear()
+        collect_garbage(self.spark)
 
 
 def sent_if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:

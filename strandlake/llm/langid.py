@@ -179,6 +179,7 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
         counts[i, np.frombuffer(at.as_buffer(), "<i4")] = np.frombuffer(n.as_buffer(), "<i4")
     labels = found["lang"].to_pylist()
     del found, at, n  # the driver holds one copy
+    pa.default_memory_pool().release_unused()
     return fit(counts, labels)
 
 

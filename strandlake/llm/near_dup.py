@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, mix64, only, sent_if_small, spread
+from .common import LOWER, Scratch, collect_garbage, mix64, only, sent_if_small, spread
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Members in a block, and 64-bit words of a bitmap.
@@ -322,6 +322,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return _component(_component(pairs, comp, "a", "_u"), comp, "b", "_v").where("_u <> _v").select("a", "b")
 
     further(apart(stars))
+    collect_garbage(spark)
     # a bucket with members in different components holds one that isn't in its pivot's
     left = work.written(apart(stars).select(F.col("b").alias("of")).distinct(), "apart")
     if not left.isEmpty():
