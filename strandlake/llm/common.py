@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,13 @@ def collect_garbage(spark: SparkSession) -> None:
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
+def give_back_memory() -> None:
+    """Called by a worker at a task's end: what it freed goes back to the system, where Arrow and the C library would keep it for a next task that may not come."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # GNU only
+        trim(0)
+
+
 class Scratch:
     """Written tables that one job needs for a while. ``clear`` deletes them; all that read them must have been written by then, since a lost executor's work is done again from them."""
 

@@ -17,19 +17,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, only, spread
+from .common import LOWER, give_back_memory, only, spread
 
 #: ASCII non-letters become blanks, A-Z lower case.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in LOWER)
 
 
-def subword_counts(text: bytes, buckets: int) -> np.ndarray:
-    """Counts of a text's hashed byte n-grams."""
+def subword_counts(text: bytes, buckets: int, block: int = 1 << 18) -> np.ndarray:
+    """Counts of a text's hashed byte n-grams, of any length. ``block`` n-grams are hashed at a time, so a very long text takes little more memory than its bytes."""
     x = np.frombuffer(b" " + text.translate(_LETTERS) + b" ", np.uint8)
     word = x != 32
-    x = x[word | np.concatenate([[True], word[:-1]])].astype(np.uint32)  # runs of blanks become one
-    blank = x == 32
+    x = x[word | np.concatenate([[True], word[:-1]])]  # runs of blanks become one
     counts = np.zeros(buckets, np.int64)
+    for at in range(0, len(x), block):
+        _count(x[at : at + block + 3].astype(np.uint32), min(block, len(x) - at), counts)
+    return counts
+
+
+def _count(x: np.ndarray, starts: int, counts: np.ndarray) -> None:
+    """Adds the n-grams that begin at the first ``starts`` places of ``x``; three further bytes, where the text has them, complete the last of them."""
+    buckets = len(counts)
+    blank = x == 32
     h = x.copy()
     ok = ~blank
     shift = np.uint32(32 - (buckets.bit_length() - 1))
@@ -41,8 +49,7 @@ def subword_counts(text: bytes, buckets: int) -> np.ndarray:
             for k in range(1, n - 1):
                 inner |= blank[k : k + len(h)]
             ok = ~inner
-        counts += np.bincount((((h ^ np.uint32(n)) * np.uint32(0x9E3779B1)) >> shift)[ok], minlength=buckets)
-    return counts
+        counts += np.bincount((((h[:starts] ^ np.uint32(n)) * np.uint32(0x9E3779B1)) >> shift)[ok[:starts]], minlength=buckets)
 
 
 def has_letters(text: str) -> bool:
@@ -222,5 +229,6 @@ def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text")
                 if some and m.languages:
                     good[some] = ~m.judged(np.stack([subword_counts(texts[i].as_py().encode("utf-8", "surrogatepass"), m.embed.shape[0]) for i in some]))[2]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], names=["row"])
+        give_back_memory()
 
     return d.mapInArrow(keep, d.select("row").schema).select("row.*")

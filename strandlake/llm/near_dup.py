@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, Scratch, collect_garbage, mix64, only, sent_if_small, spread
+from .common import LOWER, Scratch, collect_garbage, give_back_memory, mix64, only, sent_if_small, spread
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Members in a block, and 64-bit words of a bitmap.
@@ -114,6 +114,7 @@ def _marks(docs: DataFrame, k: int, collections: int, depth: int) -> DataFrame:
                     made[2:, i] = small_keys(s, collections, depth)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), *[pa.array(x.view(np.int64), mask=n == 0) for x in made]], names=["doc_id", "n_shingles", "a", "b", *_names(collections)])
         _words.clear()  # the worker goes on to other stages
+        give_back_memory()
 
     return spread(docs).mapInArrow(mark, "doc_id long, n_shingles long, a long, b long, " + ", ".join(f"{c} long" for c in _names(collections)))
 
@@ -229,6 +230,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
                 linked.append(similar(mine, shingle_set(tb.as_py(), k), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
         _words.clear()
+        give_back_memory()
 
     with_b = texts.join(sent_if_small(pairs.select("a", "b")), F.col("doc_id") == F.col("b")).select("a", "b", F.col("text").alias("tb"))
     both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")

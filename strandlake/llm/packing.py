@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, slices, spread
+from .common import give_back_memory, only, slices, spread
 from .tokens import encoder, forget
 
 
@@ -26,14 +26,15 @@ def cuts(n: int, context: int) -> list[int]:
     return out + [1 << k for k in range(context.bit_length() - 2, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", context: int = 1024, end_id: int = 0, with_tokens: bool = True, remembered: int = 500_000, keep_words: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", context: int = 1024, end_id: int = 0, with_tokens: bool = True, remembered: int = 500_000, keep_words: bool = True, at_once: int = 4_000_000) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, bucket (log2 of length), tokens (unless left out), sequence_id, offset (always 0).
 
     A null or empty text holds the end id alone: one piece of length 1. A null id stays null; repeated rows are documents of their own. An empty table gives
     no rows. A sequence id is unique and is the same again when a task is repeated, since it counts within a partition of the input; with another split of the
     input, as on a cluster of another size, the ids are others, while all else is the same.
     ``context`` must be a power of two. ``remembered`` bounds the words that a worker keeps encoded, and with it its memory; with ``keep_words``
-    they stay for its next tasks, without it they go when a task ends. Results don't depend on either.
+    they stay for its next tasks, without it they go when a task ends. ``at_once`` characters are cut into words at a time (a longer text is one time of its own).
+    Results depend on none of them.
     """
     if context < 1 or context & (context - 1):
         raise ValueError("context must be a power of two")
@@ -46,9 +47,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         codes = encoder(tokenizer_path, remembered)
         for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, at_once):
                 columns: list[list] = [[] for _ in fields]
-                for key, ids in zip(keys[a:b], codes.encode(texts[a:b]), strict=True):
+                for key, ids in zip(keys[a:b], codes.encode(texts[a:b], at_once), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     at = 0
                     raw = ids.tobytes()
@@ -62,6 +63,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
         if not keep_words:
             forget(tokenizer_path)
+            give_back_memory()
 
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", tokens array<int>" * with_tokens
     rows = spread(only(docs, doc_id=id_col, text=text_col)).mapInArrow(pieces, kinds)

@@ -137,9 +137,9 @@ class Encoder:
             waiting -= {x[0] for x in ready}
             made = [x for x in made if x[0] in waiting]
 
-    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
-        """Ids of each text in turn, unsigned 32-bit; a null text has none."""
-        for a, b in slices(texts):
+    def encode(self, texts: list[str | None], at_once: int = 4_000_000) -> Iterator[np.ndarray]:
+        """Ids of each text in turn, unsigned 32-bit; a null text has none. About ``at_once`` characters are worked on at a time."""
+        for a, b in slices(texts, at_once):
             if self.places.rows > self.most:
                 self._forget()
             pieces = [self._pieces(t) for t in texts[a:b]]

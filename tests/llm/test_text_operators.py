@@ -247,3 +247,13 @@ def test_quality_edges(docs, texts, empty):
     assert len(rows) == len(texts) and all(0 <= r.tail_prob <= 1 for r in rows)
     assert quality.grade_documents(empty, model, 1).count() == 0
     assert quality.fit_quality_model(empty, docs.select("doc_id", F.lit(1).alias("grade")), 3, buckets=1 << 10).weights.sum() == 0
+
+
+def test_subwords_by_blocks_are_those_of_the_whole():
+    from strandlake.llm.langid import subword_counts
+
+    text = ("Über den Wolken 12 muss  die Freiheit--wohl grenzenlos sein. " * 9).encode()
+    whole = subword_counts(text, 1 << 10)
+    for block in (1, 2, 3, 4, 7, 64, len(text)):
+        assert (subword_counts(text, 1 << 10, block) == whole).all(), block
+    assert [int(subword_counts(t, 1 << 10).sum()) for t in (b"", b"a", b"ab")] == [0, 4, 8]
