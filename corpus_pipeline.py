@@ -40,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids by power-of-two decomposition, each with its ids."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), keep_words=False)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=200_000, keep_words=False, at_once=1_000_000)
 
 
 STAGES = [("language", language), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
