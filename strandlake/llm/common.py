@@ -104,6 +104,13 @@ def spread(df: DataFrame, least_bytes: int = 4_000_000) -> DataFrame:
     return df.repartition(cores) if size < cores * least_bytes else df
 
 
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches cut to ``rows`` rows, views of the same memory: what is made of a portion, and sent back, stays small however large a batch arrives."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(values: list, most: int = 4_000_000, rows: int = 256) -> Iterator[tuple[int, int]]:
     """Bounds of runs of a batch with at most ``most`` characters or ``rows`` rows, one row at least."""
     start = total = 0

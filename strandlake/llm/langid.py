@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, give_back_memory, only, spread
+from .common import LOWER, give_back_memory, only, portions, spread
 
 #: ASCII non-letters become blanks, A-Z lower case.
 _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in LOWER)
@@ -174,10 +174,11 @@ def fit_language_model(docs: DataFrame, text_col: str = "text", lang_col: str =
         return fit(np.zeros((0, buckets)), [])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, 256):
             rows = [subword_counts(t.as_py(), buckets) for t in batch.column(0).cast(pa.binary())]
             used = [np.flatnonzero(r) for r in rows]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([u.astype("<i4").tobytes() for u in used], pa.binary()), pa.array([r[u].astype("<i4").tobytes() for r, u in zip(rows, used, strict=True)], pa.binary())], names=["lang", "at", "n"])
+        give_back_memory()
 
     found = d.where(key <= least).dropDuplicates(["text", "lang"]).mapInArrow(count, "lang string, at binary, n binary").toArrow()
     found = found.sort_by([("lang", "ascending"), ("at", "ascending"), ("n", "ascending")])
@@ -215,15 +216,15 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
 
 
 def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows whose language the model doesn't refuse, with all their columns: the verdict is made where the row is, so nothing is joined."""
+    """The rows whose language the model doesn't refuse, with all their columns: the verdict is made where the row is, so nothing is joined. A text is sent once, inside its row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))
+    d, place = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in portions(batches):
             good = np.zeros(batch.num_rows, bool)
-            texts = batch.column(1)
+            texts = batch.column(0).field(place)
             for at in range(0, len(texts), 64):
                 some = [i for i in range(at, min(at + 64, len(texts))) if texts[i].is_valid and has_letters(texts[i].as_py())]
                 if some and m.languages:
@@ -231,4 +232,4 @@ def keep_accepted(docs: DataFrame, model: LanguageModel, text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good))], names=["row"])
         give_back_memory()
 
-    return d.mapInArrow(keep, d.select("row").schema).select("row.*")
+    return d.mapInArrow(keep, d.schema).select("row.*")
