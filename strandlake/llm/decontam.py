@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, only, spread, written
+from .common import LOWER, give_back_memory, only, portions, spread, written
 
 #: Digits, a-z and all bytes of non-ASCII characters belong to words, A-Z becomes lower case, the rest are blanks.
 _WORDS = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in LOWER)
@@ -129,6 +129,7 @@ def _counts(docs: DataFrame, block: Block) -> dict[int, int]:
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
                 np.add.at(total, _among(b.keys(b.numbers(words_of(text.as_py()))), b.pairs)[1], 1)
+        give_back_memory()
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(b.pairs[used]), pa.array(total[used])], names=["pair", "n"])
 
@@ -158,14 +159,16 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     name stay inside ``row``; empty tables on either side give no rows, or no hits.
     """
     bench = only(benchmark, item_id=item_col, text=item_text_col)
-    d = spread(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"))).withColumns({"spans": F.lit(b""), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
+    d = spread(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))).withColumns({"spans": F.lit(b""), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long"), "n_hit": F.lit(0).cast("long")})
+
+    place = docs.columns.index(text_col)
 
     def scan(shared):
         def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = shared.value
-            for batch in batches:
+            for batch in portions(batches):
                 spans, items, n_words, n_hit = [], [], [], []
-                for text, old, had in zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3), strict=True):
+                for text, old, had in zip(batch.column(0).field(place).cast(pa.binary()), batch.column(1), batch.column(2), strict=True):
                     words = words_of(text.as_py())
                     start, which = occurrences(b, words)
                     seen = np.frombuffer(old.as_py(), "<i8").reshape(-1, 2)
@@ -180,7 +183,8 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
                     spans.append(seen.astype("<i8").tobytes())
                     n_words.append(len(words))
                     n_hit.append(int((np.cumsum(step[:-1]) > 0).sum()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())], names=["row", "text", "spans", "items", "n_words", "n_hit"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.binary()), pa.array(items, pa.list_(pa.string())), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64())], names=["row", "spans", "items", "n_words", "n_hit"])
+            give_back_memory()
 
         return hits
 
@@ -188,6 +192,6 @@ def overlap(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_
     for block in _blocks(bench, window, block_words):
         if waiting is not None:
             d = written(waiting, "hits")
-        block = with_prefixes(block, _counts(d, block))
+        block = with_prefixes(block, _counts(d.select(F.col("row").getField(text_col).alias("text")), block))
         waiting = d.mapInArrow(scan(docs.sparkSession.sparkContext.broadcast(block)), d.schema)
     return waiting.select("row", "n_words", "n_hit", "items", ((F.col("n_hit") > 0) & (numerator * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
